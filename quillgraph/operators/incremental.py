@@ -49,8 +49,8 @@ def successful(runs: DataFrame) -> DataFrame:
     return runs.filter((F.col("status") == "ok") & F.col("finished_at").isNotNull() & F.col("started_at").isNotNull())
 
 
-def run_slots(runs: DataFrame) -> DataFrame:
-    """Successful runs as the intervals of sequence they take, one row per day an interval touches.
+def run_slots(runs: DataFrame):
+    """Successful runs as the intervals of sequence they take, one row per day an interval touches, and ``first``.
 
     ``first`` is the day of the earliest run: all rows landed before it belong to that day's slot.
     The day makes the as-of lookup an equi-join; a day holds only the runs of that day and the next one.

@@ -1,22 +1,26 @@
 """Parent-child links to full hierarchies.
 
-Level-wise frontier joins: the roots are level 0, each level is the join of the last one with the links,
-until a level is empty. Only the frontier moves; the links are partitioned and sorted by parent once. A
-parent with very many children is split by a salt derived from its own child count, so it is never one
-task's work. Nodes that no level reaches are on a cycle or below one; the number of steps to a cycle is
-not known there, so they are resolved by doubling the jumps along their parents.
+Level-wise frontier joins: the roots are level 0, and the frontier is joined with the links until it finds
+no more nodes. The first join goes one level down, the next two, then four, up to MAX_STRIDE levels at once:
+with the frontier the links are joined with themselves, so that they lead as far as the frontier is deep.
+So a tree of depth 100 takes a dozen jobs instead of 100, and the links of a long stride are few, as only
+deep nodes have them. Each node is found once, from one ancestor. Joins are on the ancestor, which is one
+row of the frontier; an ancestor of very many nodes makes a skewed partition on the links' side only, which
+adaptive execution splits.
+
+Nodes that the roots don't reach are on a cycle or below one; the number of steps to the cycle is not known
+there, so they are resolved by doubling the jumps along their parents.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, materialize_counted
 
-#: Children of one parent that one task joins at most.
-CHILDREN_PER_SALT = 200_000
+#: Levels that one join goes down at most.
+MAX_STRIDE = 16
 
 
 def hierarchy_links(edges: DataFrame) -> DataFrame:
@@ -37,61 +41,35 @@ def hierarchy_links(edges: DataFrame) -> DataFrame:
     )
 
 
-def _steps(links: DataFrame) -> DataFrame:
-    """Links with the fan-out of the child and the salt under which the parent finds it."""
-    fan = links.groupBy("parent").agg(F.count(F.lit(1)).alias("fan"))
-    # at most links / CHILDREN_PER_SALT rows
-    hot = fan.filter(F.col("fan") > CHILDREN_PER_SALT).select("parent", F.col("fan").alias("hot_fan"))
-    child_fan = fan.select(F.col("parent").alias("child"), "fan")
-    salts = F.ceil(F.col("hot_fan") / CHILDREN_PER_SALT).cast("bigint")
-    return (
-        links.join(child_fan, "child", "left")
-        .join(F.broadcast(hot), "parent", "left")
-        .select(
-            "parent",
-            "child",
-            F.coalesce("fan", F.lit(0)).alias("fan"),
-            F.coalesce(F.pmod(F.xxhash64("child"), salts), F.lit(0)).cast("int").alias("salt"),
-        )
-    )
-
-
 def _levels(links: DataFrame, with_paths: bool) -> DataFrame:
-    spark = links.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    steps = _steps(links).repartition(parts, "parent", "salt").sortWithinPartitions("parent", "salt")
-    steps = steps.persist(StorageLevel.MEMORY_AND_DISK)
-    parents = links.groupBy("parent").agg(F.count(F.lit(1)).alias("fan"))
-    roots = parents.join(links.select(F.col("child").alias("parent")), "parent", "left_anti")
+    """``node_id, root_id, depth[, path]`` of all nodes that the roots reach."""
+    path = ["path"] if with_paths else []
     node = F.col("parent")
-    level = roots.select(
-        node.alias("node_id"),
-        node.alias("root_id"),
-        F.lit(0).cast("bigint").alias("depth"),
-        "fan",
-        *([F.array(node).alias("path")] if with_paths else []),
-    )
-    level, n = materialize_counted(level, "level")
-    out = level
+    roots = links.select(node).distinct().join(links.select(F.col("child").alias("parent")), "parent", "left_anti")
+    level = roots.select(node.alias("node_id"), node.alias("root_id"), F.lit(0).cast("bigint").alias("depth"))
+    frontier, n = materialize_counted(level.withColumn("path", F.array("node_id")) if with_paths else level, "level")
+    out, stride = frontier, 1
+    # Descendants at a distance of exactly `stride`; `path` has the nodes in between and the last.
+    far = links.select(node.alias("from"), F.col("child").alias("to"), *([F.array("child").alias("step")] if with_paths else []))
     while n:
-        front = level.filter(F.col("fan") > 0).withColumn(
-            "salt", F.explode(F.sequence(F.lit(0), F.ceil(F.col("fan") / CHILDREN_PER_SALT).cast("int") - 1))
-        )
-        front = front.select(
-            F.col("node_id").alias("parent"), "salt", "root_id", "depth", *(["path"] if with_paths else [])
-        )
-        level = steps.join(front, ["parent", "salt"]).select(
-            F.col("child").alias("node_id"),
+        joined = frontier.join(far, frontier["node_id"] == far["from"])
+        found = joined.select(
+            F.col("to").alias("node_id"),
             "root_id",
-            (F.col("depth") + 1).alias("depth"),
-            "fan",
-            *([F.concat("path", F.array("child")).alias("path")] if with_paths else []),
+            (F.col("depth") + stride).alias("depth"),
+            *([F.concat("path", "step").alias("path")] if with_paths else []),
         )
-        level, n = materialize_counted(level, "level")
-        if n:
-            out = out.unionByName(level)
-    steps.unpersist()
-    return out.drop("fan")
+        found, n = materialize_counted(found, "level")
+        out = out.unionByName(found)
+        if n and stride < MAX_STRIDE:
+            frontier = frontier.unionByName(found)
+            more = far.select(F.col("from").alias("to"), F.col("to").alias("end"), *([F.col("step").alias("more")] if with_paths else []))
+            step = [F.concat("step", "more").alias("step")] if with_paths else []
+            far = materialize(far.join(more, "to").select("from", F.col("end").alias("to"), *step), "links")
+            stride *= 2
+        else:
+            frontier = found
+    return out.select("node_id", "root_id", "depth", *path)
 
 
 def _cycles(left: DataFrame, n: int) -> DataFrame:

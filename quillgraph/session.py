@@ -46,7 +46,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """As :func:`materialize`; the row count is observed during the write, without another job."""
+    """As :func:`materialize`; the rows are counted during the write, without another job."""
     seen = Observation()
     out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
     return out, seen.get["n"]

@@ -13,6 +13,6 @@ def current_rows(rows: DataFrame, *columns: str, key: str = "id", version: str =
     version is the least; rows without a key are none. The maximum combines map-side, so a key with very
     many rows reaches its reducer as one row per map task.
     """
-    best = F.max(F.struct(version, *columns)).alias("best")
+    best = F.max(F.struct(version, *[c for c in columns if c != version])).alias("best")
     picked = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(best)
     return picked.select(key, *[F.col(f"best.{c}").alias(c) for c in columns])

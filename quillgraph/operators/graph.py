@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, materialize_counted
@@ -34,52 +34,35 @@ def related(edges: DataFrame, id: str) -> DataFrame:
 def traverse(
     entities: DataFrame, edges: DataFrame, start: str, relation: str | None = None, max_depth: int = 1
 ) -> DataFrame:
-    """``id, depth, relation, ord``: breadth-first along outgoing edges.
+    """``id, depth, relation, place``: breadth-first along outgoing edges.
 
     The start comes first at depth 0; each node comes once, at its least depth, with the relation of the edge
-    that found it first: edges are ordered by their source's place, then relation, then target. Targets without
-    an entity are neither returned nor followed. An unknown start gives no rows. ``ord`` is the place in the
-    whole result. At most ``max_depth`` jobs; each reads the edges of the frontier only, by a join, and an empty
-    frontier ends the walk.
+    that found it first: edges are ordered by their source's place, then relation, then target. ``place`` is
+    the chain of relations and ids that leads to a node, so ordering by depth and place gives the walk's order
+    without numbering the rows. Targets without an entity are neither returned nor followed. An unknown start
+    gives no rows. At most ``max_depth`` jobs; each joins the frontier with the edges, and an empty frontier
+    ends the walk.
     """
     if isinstance(max_depth, bool) or not isinstance(max_depth, int) or max_depth < 0:
         raise ValueError("max_depth must be a whole number, 0 or more")
-    followed = edges if relation is None else edges.filter(F.col("relation") == relation)
+    followed = (edges if relation is None else edges.filter(F.col("relation") == relation)).select("src", "dst", "relation")
     ids = entities.select("id")
-    first = ids.filter(F.col("id") == start).limit(1)
-    level = first.select(
-        "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("relation"), F.lit(1).cast("bigint").alias("place")
-    )
+    none = F.lit(None).cast("string")
+    level = ids.filter(F.col("id") == start).limit(1)
+    level = level.select("id", F.lit(0).alias("depth"), none.alias("relation"), F.array().cast("array<string>").alias("place"))
     level, n = materialize_counted(level, "walk")
-    levels, before = [level.withColumn("ord", F.col("place"))], n
+    if n and max_depth > 1:  # edges and ids are read once per level
+        followed, ids = materialize(followed, "edges"), materialize(ids, "ids")
+    levels = [level]
     for depth in range(1, max_depth + 1):
         if not n:
             break
-        front = level.select(F.col("id").alias("src"), "place")
-        steps = followed.select("src", "dst", "relation").join(front, "src")
+        steps = followed.join(level.select(F.col("id").alias("src"), "place"), "src")
         # the edge that comes first, per target: combined map-side, so a hot target is one row per task
-        best = steps.groupBy("dst").agg(F.min(F.struct("place", "relation")).alias("via"))
-        seen = reduce(DataFrame.unionByName, levels).select(F.col("id").alias("dst"))
-        fresh = best.join(seen, "dst", "left_anti")
-        fresh = fresh.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        found = fresh.select(F.col("dst").alias("id"), F.lit(depth).alias("depth"), "via")
-        level, n = materialize_counted(_placed(found), "walk")
-        levels.append(level.withColumn("ord", F.col("place") + before))
-        before += n
-    return reduce(DataFrame.unionByName, levels).select("id", "depth", "relation", "ord")
-
-
-def _placed(found: DataFrame) -> DataFrame:
-    """Number a level by (place of the source, relation, target) without one task for the whole level.
-
-    Range partitions are sorted; each adds the sizes of those before it.
-    """
-    parts = found.repartitionByRange("via.place", "via.relation", "id").sortWithinPartitions("via.place", "via.relation", "id")
-    parts = materialize(parts.withColumn("part", F.spark_partition_id()), "level")
-    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size"))  # one row per partition
-    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("part", before.alias("before"))
-    within = F.row_number().over(Window.partitionBy("part").orderBy("via.place", "via.relation", "id"))
-    return parts.join(offsets, "part").select(
-        "id", "depth", F.col("via.relation").alias("relation"), (F.col("before") + within).cast("bigint").alias("place")
-    )
+        best = steps.groupBy("dst").agg(F.min(F.struct("place", "relation")).alias("via")).withColumnRenamed("dst", "id")
+        seen = reduce(DataFrame.unionByName, levels).select("id")
+        fresh = best.join(seen, "id", "left_anti").join(ids, "id", "left_semi")
+        place = F.concat("via.place", F.array("via.relation", "id")).alias("place")
+        level, n = materialize_counted(fresh.select("id", F.lit(depth).alias("depth"), F.col("via.relation").alias("relation"), place), "walk")
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)

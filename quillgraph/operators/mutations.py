@@ -63,7 +63,7 @@ def delete_entities(
 
 def term_rows(words: DataFrame) -> DataFrame:
     """``term, entity_id`` from ``entity_id, terms array``: lower case, nothing trimmed or folded."""
-    return words.select(F.lower(F.explode("terms")).alias("term"), "entity_id").filter(F.col("term").isNotNull())
+    return words.select(F.explode(F.transform("terms", F.lower)).alias("term"), "entity_id").filter(F.col("term").isNotNull())
 
 
 def add_terms(terms: DataFrame, words: DataFrame) -> DataFrame:

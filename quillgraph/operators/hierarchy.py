@@ -24,28 +24,28 @@ MAX_STRIDE = 16
 
 
 def hierarchy_links(edges: DataFrame) -> DataFrame:
-    """``child, parent`` from ``contains`` (src is the parent) and ``part_of`` (src is the child), any case.
+    """Distinct ``child, parent`` from ``contains`` (src is the parent) and ``part_of`` (src is the child), any case.
 
-    One row per child: of several parents the smallest id (byte order) holds. Null ends are no link.
+    Null ends are no link.
     """
     relation = F.lower("relation")
     down = relation == "contains"
+    linked = relation.isin("contains", "part_of") & F.col("src").isNotNull() & F.col("dst").isNotNull()
     return (
-        edges.filter(relation.isin("contains", "part_of") & F.col("src").isNotNull() & F.col("dst").isNotNull())
+        edges.filter(linked)
         .select(
             F.when(down, F.col("dst")).otherwise(F.col("src")).alias("child"),
             F.when(down, F.col("src")).otherwise(F.col("dst")).alias("parent"),
         )
-        .groupBy("child")
-        .agg(F.min("parent").alias("parent"))
+        .distinct()
     )
 
 
-def _levels(links: DataFrame, with_paths: bool) -> DataFrame:
+def _levels(links: DataFrame, parents: DataFrame, with_paths: bool) -> DataFrame:
     """``node_id, root_id, depth[, path]`` of all nodes that the roots reach."""
     path = ["path"] if with_paths else []
     node = F.col("parent")
-    roots = links.select(node).distinct().join(links.select(F.col("child").alias("parent")), "parent", "left_anti")
+    roots = parents.join(links.select(F.col("child").alias("parent")), "parent", "left_anti")
     level = roots.select(node.alias("node_id"), node.alias("root_id"), F.lit(0).cast("bigint").alias("depth"))
     frontier, n = materialize_counted(level.withColumn("path", F.array("node_id")) if with_paths else level, "level")
     out, stride = frontier, 1
@@ -113,11 +113,13 @@ def hierarchy(edges: DataFrame, with_paths: bool = False) -> DataFrame:
     """``node_id, root_id, depth[, path]``: one row per id in a hierarchy link.
 
     ``depth`` is 0 for a root. A node on a cycle or below one has depth -1, the smallest id of the cycle as
-    root, and (with paths) a null path. ``path`` is the array of ids from root to node. Repeated links count
-    once; an empty table gives no rows; extra columns of ``edges`` play no part.
+    root, and (with paths) a null path. ``path`` is the array of ids from root to node. Of several parents the
+    smallest id holds. Repeated links count once; an empty table gives no rows; extra columns of ``edges`` play
+    no part.
     """
-    links = materialize(hierarchy_links(edges), "links")
-    reached = _levels(links, with_paths)
+    pairs = materialize(hierarchy_links(edges), "pairs")
+    links = materialize(pairs.groupBy("child").agg(F.min("parent").alias("parent")), "links")
+    reached = _levels(links, pairs.select("parent").distinct(), with_paths)
     left = links.join(reached.select(F.col("node_id").alias("child")), "child", "left_anti")
     left, n = materialize_counted(left, "unreached")
     if not n:

@@ -57,7 +57,7 @@ def resolve_plugin(module: ModuleType | None) -> Plugin:
     value = getattr(module, "PLUGIN", None) or getattr(module, "make_plugin", None)
     if value is None:
         raise PluginError("plugin module has no PLUGIN or make_plugin")
-    if _is_plugin(value):
+    if _is_plugin(value) and not isinstance(value, type):
         return value
     if callable(value):
         made = value()

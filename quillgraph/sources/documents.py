@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..schema import conform
 
@@ -168,14 +170,16 @@ def _parsed(path: str, content: str) -> tuple[dict, list]:
     return {"state": "ok", "n_rules": len(rules)} | head, [_rule_row(path, meta, i, r) for i, r in enumerate(rules)]
 
 
-def _columns(ddl: str) -> list[str]:
-    depth, names, fresh = 0, [], True
-    for part in ddl.replace("\n", " ").split(","):
-        if depth == 0 and fresh:
-            names.append(part.split()[0])
-        depth += part.count("<") - part.count(">")
-        fresh = depth == 0
-    return names
+def _by_file(files: DataFrame, ddl: str, rows_of) -> DataFrame:
+    """Rows made of each file in Python: ``rows_of(path, content)`` gives dictionaries with the columns of ``ddl``."""
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_pylist([r for path, text in files for r in rows_of(path, text)], schema)
+
+    return files.select("source_path", "content").mapInArrow(parse, ddl)
 
 
 def parse_rules(files: DataFrame) -> DataFrame:
@@ -183,24 +187,12 @@ def parse_rules(files: DataFrame) -> DataFrame:
 
     YAML is parsed in Python, as Spark has no reader for it; a row is a file.
     """
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [r for path, text in zip(batch["source_path"], batch["content"]) for r in _parsed(path, text)[1]]
-            yield pd.DataFrame(rows, columns=_columns(RULES))
-
-    return files.select("source_path", "content").mapInPandas(parse, RULES)
+    return _by_file(files, RULES, lambda path, text: _parsed(path, text)[1])
 
 
 def rule_files(files: DataFrame) -> DataFrame:
     """State of each YAML file: ``ok``, ``unparsable`` or ``no rules``, with its metadata."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [{"source_path": p} | _parsed(p, t)[0] for p, t in zip(batch["source_path"], batch["content"])]
-            yield pd.DataFrame(rows, columns=_columns(FILE_STATE)).astype({"n_rules": "Int32"})
-
-    return files.select("source_path", "content").mapInPandas(parse, FILE_STATE)
+    return _by_file(files, FILE_STATE, lambda path, text: [{"source_path": path} | _parsed(path, text)[0]])
 
 
 def read_yaml(spark: SparkSession, root: str) -> DataFrame:

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,13 +66,19 @@ def count_term(term: str, text: str) -> int:
     return len(re.findall(rf"(?<!\w){re.escape(term)}(?!\w)", text))
 
 
+def _batch(ids: list, names: list, counts: list, column: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["id", column, "n"])
+
+
 def _counter(bits, longest: int):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows ``id, core, n`` for ``id, body``: each run of words in the bitmap with its number, and the number of words under a null core."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, mask = bits.value, (1 << BITMAP_BITS) - 1
         for batch in batches:
-            ids, cores, counts, sizes = [], [], [], []
-            for key, body in zip(batch["id"], batch["body"]):
-                text = canonical(body) if body is not None else ""
+            ids, cores, counts = [], [], []
+            for key, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = canonical(body.as_py() or "")
                 spans = [m.span() for m in _WORD.finditer(text)]
                 seen: dict[str, list[int]] = {}
                 for i, (start, _) in enumerate(spans):
@@ -85,15 +92,15 @@ def _counter(bits, longest: int):
                 ids += [key] * (len(seen) + 1)
                 cores += [None, *seen]
                 counts += [len(spans), *(x[0] for x in seen.values())]
-            yield pd.DataFrame({"id": ids, "core": cores, "n": counts})
+            yield _batch(ids, cores, counts, "core")
 
     return count
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n = [count_term(t, canonical(b)) if b is not None else 0 for t, b in zip(batch["term"], batch["body"])]
-        yield pd.DataFrame({"id": batch["id"], "term": batch["term"], "n": n})
+        ids, terms, bodies = (batch.column(i).to_pylist() for i in range(3))
+        yield _batch(ids, terms, [count_term(t, canonical(b or "")) for t, b in zip(terms, bodies)], "term")
 
 
 def distinctive_terms(entities: DataFrame, terms: DataFrame, current, materialize) -> DataFrame:
@@ -116,7 +123,7 @@ def distinctive_terms(entities: DataFrame, terms: DataFrame, current, materializ
     bits = spark.sparkContext.broadcast(keyword_bitmap(vocab.filter(F.col("core") != "").select("core").distinct()))
 
     bodies = materialize(current(entities, "body"), "bodies")
-    counted = bodies.mapInPandas(_counter(bits, longest), "id string, core string, n bigint")
+    counted = bodies.select("id", "body").mapInArrow(_counter(bits, longest), "id string, core string, n bigint")
     counted = materialize(counted, "counted")
     margin = counted.filter(F.col("core").isNull()).select("id", F.col("n").alias("row_n"))
     total = margin.agg(F.sum("row_n")).scalar()
@@ -127,7 +134,7 @@ def distinctive_terms(entities: DataFrame, terms: DataFrame, current, materializ
     # Candidates of odd terms: a record that has the core, or lists a term of signs only.
     by_core = found.join(odd.filter(F.col("core") != ""), "core").select("id", "term")
     by_list = pairs.join(odd.filter(F.col("core") == ""), "term").select(F.col("entity_id").alias("id"), "term")
-    verified = by_core.unionByName(by_list).distinct().join(bodies, "id").mapInPandas(_verify, "id string, term string, n bigint")
+    verified = by_core.unionByName(by_list).distinct().join(bodies, "id").select("id", "term", "body").mapInArrow(_verify, "id string, term string, n bigint")
     cells = found.select("id", F.col("core").alias("term"), "n").unionByName(verified.filter(F.col("n") > 0))
     cells = materialize(cells, "cells")
 

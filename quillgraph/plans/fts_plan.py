@@ -75,18 +75,17 @@ def scan_hits(entities: DataFrame, keys: list[tuple[str, bool]]) -> DataFrame:
 
 
 def build_postings(entities: DataFrame) -> DataFrame:
-    """The index: a row per token, record and column with the positions; see ``schema.POSTINGS``."""
+    """The index: a row per token, record and column with the positions; see ``schema.POSTINGS``.
+
+    Grouped by token *and* record, so that a token of all records makes no hot group.
+    """
     split = entities.select("id", *[tokens(F.col(c)).alias(f"w{i}") for i, c in enumerate(COLUMNS)])
     dl = reduce(lambda a, b: a + b, [F.size(f"w{c}") for c in range(len(COLUMNS))])
     by_column = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"w{c}").alias("w")) for c in range(len(COLUMNS))])
-    cols = split.select("id", dl.alias("dl"), F.explode(by_column).alias("c"))
-    # A record's own tokens are grouped within its row; the index needs no shuffle to be built.
-    places = F.expr(
-        "transform(array_distinct(c.w), t -> named_struct('token', t, 'positions', "
-        "array_compact(transform(c.w, (x, i) -> CASE WHEN x = t THEN i END))))"
-    )
-    rows = cols.select("id", "dl", F.col("c.col").alias("col"), F.explode(places).alias("p"))
-    return rows.select(F.col("p.token").alias("token"), "id", "col", F.col("p.positions").alias("positions"), "dl").to(POSTINGS)
+    words = split.select("id", dl.alias("dl"), F.explode(by_column).alias("c"))
+    words = words.select("id", "dl", F.col("c.col").alias("col"), F.posexplode("c.w").alias("at", "token"))
+    rows = words.groupBy("token", "id", "col").agg(F.sort_array(F.collect_list("at")).alias("positions"), F.first("dl").alias("dl"))
+    return rows.select("token", "id", "col", "positions", "dl").to(POSTINGS)
 
 
 def corpus_size(entities: DataFrame) -> DataFrame:

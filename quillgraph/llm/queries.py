@@ -88,9 +88,10 @@ QUERIES = {
     for f in (p1_found, p1_clean, p3_found, p3_pieces, p4_found, p4_scores, p5_found, p5_frequency, p8_ids, p9_found, p9_items, p10_found, p10_share)
 }
 
-_TERMS = r"""
+_SPACES = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_TERMS = rf"""
 pairs AS (
-  SELECT lower(trim(regexp_replace(term, '[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS term,
+  SELECT lower(trim(regexp_replace(term, '{_SPACES}+', ' ', 'g'))) AS term,
     nullif(entity_id, '') AS entity_id FROM terms),
 counts AS (
   SELECT term, count(*) AS n_rows, count(DISTINCT entity_id) AS n_records FROM pairs WHERE term <> '' GROUP BY term),
@@ -122,6 +123,14 @@ ORACLE_SQL = {
           SELECT id, type, body FROM entities QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1)
         SELECT id FROM cur LEFT JOIN (SELECT * FROM size_limits WHERE type <> '*') s ON s.type = cur.type
         WHERE length(body) > coalesce(s.max_chars, (SELECT max_chars FROM size_limits WHERE type = '*'))""",
+    # RE2 has no look-around: every character that is no word character is doubled, so that each hit can take one at either end.
+    "p4_found": rf"""WITH {_TERMS},
+        cur AS (SELECT id, body FROM entities WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1),
+        texts AS (SELECT id, regexp_replace(regexp_replace(lower(body), '{_SPACES}+', ' ', 'g'), '([^\p{{L}}\p{{N}}_])', '\1\1', 'g') AS t FROM cur),
+        listed AS (SELECT DISTINCT term, entity_id FROM pairs WHERE term <> '' AND entity_id IS NOT NULL),
+        kept AS (SELECT term FROM listed GROUP BY term HAVING count(*) BETWEEN 2 AND 12)
+        SELECT entity_id, term FROM listed SEMI JOIN kept USING (term) JOIN texts ON texts.id = entity_id
+        WHERE len(regexp_extract_all(t, '(?:^|[^\p{{L}}\p{{N}}_])' || regexp_escape(regexp_replace(term, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g')) || '(?:$|[^\p{{L}}\p{{N}}_])')) >= 3""",
     "p5_found": f"WITH {_TERMS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p5_frequency": f"WITH {_TERMS} SELECT term, n_rows, n_records, mark FROM marked",
     "p9_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM found",

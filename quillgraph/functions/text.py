@@ -45,11 +45,6 @@ def excerpt(body: Column, size: int = 140) -> Column:
     )
 
 
-def scalar_or_list(values: Column) -> Column:
-    """Null and empty strings away: what an optional scalar or list of targets stands for."""
-    return F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
-
-
 def keywords(text: Column, longer_than: int = 4) -> Column:
     """Lower-case words of a summary: split at white space and signs, longer than ``longer_than``."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s—,;:()]+"), lambda w: F.length(w) > longer_than)

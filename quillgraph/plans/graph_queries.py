@@ -55,6 +55,7 @@ class Graph:
     def rules(self) -> DataFrame:
         """Rule-like entities as parsed rules."""
         kinds = self.entities.filter(F.col("type").isin("rule", "exception", "sla", "decision"))
+        kinds = kinds.withColumn("metadata", F.when(F.try_parse_json("metadata").isNotNull(), F.col("metadata")))
         meta = lambda k: F.get_json_object("metadata", f"$.{k}")
         texts = lambda k: F.coalesce(F.from_json(meta(k), "array<string>"), F.array().cast("array<string>"))
         none = F.lit(None).cast("string")
@@ -351,6 +352,21 @@ def _(g):
     return issues.groupBy("code", detail.alias("detail")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_RULES = r""", R AS (SELECT id, type, name, json_extract_string(m, '$.owner') AS owner, json_extract_string(m, '$.severity') AS severity, source_path,
+      coalesce(from_json(json_extract(m, '$.eventos'), '["VARCHAR"]'), []) AS eventos FROM (SELECT *, CASE WHEN json_valid(metadata) THEN metadata END AS m FROM E) WHERE type IN ('rule', 'exception', 'sla', 'decision'))"""
+
+
+@_query("rule_body", _RULES + " SELECT id, concat_ws(chr(10), coalesce(name, ''), 'Riesgo: ' || severity, 'Fuente: ' || source_path) AS body FROM R")
+def _(g):
+    return g.rules().select("id", P.rule_body().alias("body"))
+
+
+@_query("rule_terms", _RULES + r"""
+    SELECT DISTINCT id, term FROM (SELECT id, unnest([owner, lower(id)] || eventos || list_filter(regexp_split_to_array(lower(coalesce(name, '')), '[\s—,;:()]+'), lambda x: length(x) > 4)) AS term FROM R) WHERE term <> ''""")
+def _(g):
+    return g.rules().select("id", F.explode(P.rule_terms(F.col("owner"))).alias("term"))
+
+
 @_query("summary_keywords", r", W AS (SELECT id, list_filter(regexp_split_to_array(lower(coalesce(name, '')), '[\s—,;:()]+'), lambda x: length(x) > 4) AS w FROM E) SELECT id, array_to_string(w, ' ') AS words FROM W")
 def _(g):
     return g.entities.select("id", F.array_join(keywords(F.col("name")), " ").alias("words"))

@@ -112,7 +112,7 @@ def entries_delta(entries: DataFrame, unread: DataFrame, base: DataFrame, types:
 BODY_LABELS = {"risk_note": "Riesgo: ", "action": "Acción: ", "source_ref": "Fuente: "}
 
 
-def rule_body(rules: DataFrame | None = None) -> Column:
+def rule_body() -> Column:
     """Summary, risk, action, conditions and source of a rule, a line each; what is missing has no line."""
     part = lambda c: F.concat(F.lit(BODY_LABELS[c]), F.col(c))
     conditions = F.array_join(F.transform("conditions", lambda c: F.concat_ws(" ", c["field"], c["op"], c["value"])), "\n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -58,11 +59,12 @@ class KnowledgeGraph:
         return [*self.READS, *(self.WRITES if self.allow_writes else ())]
 
     def call(self, tool: str, **arguments) -> dict:
-        """A tool by name; argument and query errors come back as ``{"error": ..., "isError": True}``."""
+        """A tool by name, arguments in camel or snake case; argument and query errors come back as ``{"error": ..., "isError": True}``."""
         if tool not in self.tools():
             return {"error": f"unknown tool {tool}", "isError": True}
+        snake = {re.sub("[A-Z]", lambda m: "_" + m.group().lower(), k): v for k, v in arguments.items()}
         try:
-            return getattr(self, tool)(**arguments)
+            return getattr(self, tool)(**snake)
         except (ValueError, TypeError) as error:
             return {"error": str(error), "isError": True}
 

@@ -101,7 +101,8 @@ class IngestResult:
     duration_ms: int
 
     def as_dict(self) -> dict[str, Any]:
-        return asdict(self)
+        """As the command line prints it, in camel case."""
+        return {re.sub("_(.)", lambda m: m.group(1).upper(), k): v for k, v in asdict(self).items()}
 
 
 def run_ingest(store: GraphStore, plugin: Plugin | str, options: dict | None = None, log=print) -> IngestResult:

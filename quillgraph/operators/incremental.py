@@ -120,9 +120,10 @@ class IncrementalRunner:
     def run(self, rows: DataFrame, upper) -> DataFrame:
         """Take the rows landed after the last watermark and up to ``upper``; returns ``id, change``."""
         last = (self.history() or [{"n": 0, "watermark": None, "state": None}])[-1]
-        slice_ = fingerprinted(rows).filter((F.col("root") == self.root) & (F.col("seq") <= F.lit(upper)))
+        kind = rows.schema["landed_at"].dataType
+        slice_ = fingerprinted(rows).filter((F.col("root") == self.root) & (F.col("seq") <= F.lit(str(upper)).cast(kind)))
         if last["watermark"] is not None:
-            slice_ = slice_.filter(F.col("seq") > F.lit(last["watermark"]).cast(rows.schema["landed_at"].dataType))
+            slice_ = slice_.filter(F.col("seq") > F.lit(last["watermark"]).cast(kind))
         fresh = slice_.groupBy("id").agg(F.max(F.struct("updated_at", "fp")).alias("fresh"))
         home = f"{self.base}/data/{uuid.uuid4().hex}"
         if last["state"]:

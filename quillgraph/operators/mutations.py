@@ -32,7 +32,7 @@ def upsert_entities(entities: DataFrame, delta: DataFrame, now, order: str | Non
     of the caller and is dropped here.
     """
     rows = conform(last_of_batch(delta.filter(F.col("id").isNotNull()), KEYS["entities"], order), "entities")
-    rows = rows.withColumn("metadata", F.coalesce("metadata", F.lit("{}"))).withColumn("updated_at", F.lit(now).cast("timestamp_ntz"))
+    rows = rows.withColumn("metadata", F.coalesce("metadata", F.lit("{}"))).withColumn("updated_at", F.lit(str(now)).cast("timestamp_ntz"))
     return upsert(entities, rows, KEYS["entities"])
 
 

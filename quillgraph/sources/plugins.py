@@ -133,7 +133,11 @@ def file_domain(path: Column) -> Column:
     return first(first(name, "seed-"), "-rules")
 
 
-OBJECTS = {"tables": ("table", "table", "uses_table"), "sps": ("sp", "stored_procedure", "uses_sp")}
+# Prefix, type, relation and body of the objects that rules name.
+OBJECTS = {
+    "tables": ("table", "table", "uses_table", "Tabla Sybase: "),
+    "sps": ("sp", "stored_procedure", "uses_sp", "Stored Procedure Sybase: "),
+}
 
 
 def yaml_plugin(spark: SparkSession, root: str, only: str | None = None) -> GraphDelta:
@@ -162,11 +166,11 @@ def yaml_plugin(spark: SparkSession, root: str, only: str | None = None) -> Grap
     edges = rules.filter((F.col("kind") == "exception") & F.col("overrides").isNotNull()).select(
         F.col("entity_id").alias("src"), F.concat(F.lit("rule:"), F.col("overrides")).alias("dst"), F.lit("overrides").alias("relation")
     )
-    for column, (prefix, type_, relation) in OBJECTS.items():
+    for column, (prefix, type_, relation, label) in OBJECTS.items():
         named = rules.select("entity_id", "domain", "source_path", "n", F.explode(column).alias("object")).withColumn("dst", F.concat(F.lit(f"{prefix}:"), F.col("object")))
         last = named.groupBy("dst", "object").agg(F.max(F.struct("source_path", "n", "domain")).alias("m"))
         metadata = F.to_json(F.struct(F.col("m.domain").alias("domain")))
-        objects = last.select(F.col("dst").alias("id"), F.lit(type_).alias("type"), F.col("object").alias("name"), F.concat(F.lit(f"{type_}: "), F.col("object")).alias("body"), metadata.alias("metadata"))
+        objects = last.select(F.col("dst").alias("id"), F.lit(type_).alias("type"), F.col("object").alias("name"), F.concat(F.lit(label), F.col("object")).alias("body"), metadata.alias("metadata"))
         entities = entities.unionByName(conform(objects, "entities"))
         edges = edges.unionByName(named.select(F.col("entity_id").alias("src"), "dst", F.lit(relation).alias("relation")))
     states = D.rule_files(files)

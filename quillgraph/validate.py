@@ -20,6 +20,13 @@ from .sources.plugins import GraphDelta
 from .store import GraphStore
 
 
+# Bodies of objects that validation registers.
+REGISTERED = {
+    "table": "Tabla nueva registrada durante validación de reglas",
+    "stored_procedure": "SP nuevo registrado durante validación de reglas",
+}
+
+
 @dataclass(frozen=True)
 class RuleSpec:
     """Fixed values of the default rule format."""
@@ -131,7 +138,7 @@ def validate_rules_file(
     accepted = [r for r in found if auto_register or decide(r["ref"])]
     rejected = {r["ref"] for r in found} - {r["ref"] for r in accepted}
     if accepted:
-        new = [{"id": r["ref"], "type": r["kind"], "name": r["name"], "body": "registered by validation", "metadata": None} for r in accepted]
+        new = [{"id": r["ref"], "type": r["kind"], "name": r["name"], "body": REGISTERED[r["kind"]], "metadata": None} for r in accepted]
         rows = D.inline(spark, "entities", new).withColumn("metadata", F.to_json(F.create_map(F.lit("domain"), F.lit(domain), F.lit("status"), F.lit("new"))))
         terms = rows.select(F.col("id").alias("entity_id"), F.array(F.lower("name"), F.lit(domain)).alias("terms"))
         store.apply(GraphDelta(rows, conform(rows.filter("false"), "edges"), terms), "register objects")

@@ -11,7 +11,8 @@ DATA = os.environ.get("QUILLGRAPH_DATA", "/root/testdata")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", 4, shuffle_partitions="4", driver_memory="4g")
+    few = {"spark.default.parallelism": "2", "spark.sql.files.minPartitionNum": "2"}
+    session = build_session("tests", 4, shuffle_partitions="2", driver_memory="4g", **few)
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

@@ -58,7 +58,7 @@ def test_markdown_ingest_end_to_end(spark, store, tmp_path):
     assert kg.kb_by_term("PLAZO")["term"] == "PLAZO"
     assert [h["id"] for h in kg.call("kb_find", query="comite OR comité")["hits"]] == ["rule:plazo"]
     assert kg.kb_find('"meses largos"')["hits"][0]["snippet"] == "Texto de <<meses largos>>."
-    walk = kg.call("kb_traverse", id="feature:calc", relation="depends_on", max_depth=2)
+    walk = kg.call("kb_traverse", id="feature:calc", relation="depends_on", maxDepth=2)
     assert [r["entity"]["id"] for r in walk["results"]] == ["feature:calc", "rule:plazo", "rule:promo"]
     related = kg.call("kb_related", id="rule:plazo")
     assert (related["outgoingCount"], related["incomingCount"]) == (0, 2)
@@ -253,7 +253,7 @@ def test_command_line(spark, tmp_path, capsys):
     db = f"file://{tmp_path}/db"
     run = lambda *args: (main(list(args), spark), capsys.readouterr().out)
     assert "1 migration" in run("init", "--db", db)[1]
-    assert json.loads(run("ingest", "--db", db, "--plugin", f"{tmp_path}/p.py", "--opt", f"root={root}")[1])["entities_after"] == 3
+    assert json.loads(run("ingest", "--db", db, "--plugin", f"{tmp_path}/p.py", "--opt", f"root={root}")[1])["entitiesAfter"] == 3
     assert json.loads(run("status", "--db", db)[1])["entities"]["total"] == 3
     assert json.loads(run("query", "find", "meses", "largos", "--db", db)[1])["count"] == 1
     assert json.loads(run("query", "find", "plazo", "--limit", "-1", "--db", db)[1])["count"] == 1

@@ -9,7 +9,8 @@ row of the frontier; an ancestor of very many nodes makes a skewed partition on
 adaptive execution splits.
 
 Nodes that the roots don't reach are on a cycle or below one; the number of steps to the cycle is not known
-there, so they are resolved by doubling the jumps along their parents.
+there, so they are resolved by doubling the jumps along their parents. For their ancestors, the nodes below
+are walked down from the cycles like trees, and each cycle is walked once around from its smallest id.
 """
 
 from __future__ import annotations
@@ -72,8 +73,8 @@ def _levels(links: DataFrame, parents: DataFrame, with_paths: bool) -> DataFrame
     return out.select("node_id", "root_id", "depth", *path)
 
 
-def _cycles(left: DataFrame, n: int) -> DataFrame:
-    """``node_id, root_id`` of nodes on or below a cycle; ``left`` has ``child, parent``, all within itself.
+def _cycles(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node_id, root_id`` of nodes on or below a cycle, and of those on one; ``left`` has ``child, parent``, all within itself.
 
     After enough doublings the jumps of all nodes end on cycles; they do as soon as the number of distinct
     ends no longer falls. On the cycles, the minimum over windows of doubling length becomes that of the whole.
@@ -106,7 +107,17 @@ def _cycles(left: DataFrame, n: int) -> DataFrame:
     while length < count:
         ring, length = doubled(ring), 2 * length
     least = ring.select(F.col("node").alias("jump"), F.col("least").alias("root_id"))
-    return cur.join(least, "jump").select(F.col("node").alias("node_id"), "root_id")
+    lost = cur.join(least, "jump").select(F.col("node").alias("node_id"), "root_id")
+    return lost, ring.select(F.col("node").alias("node_id"), F.col("least").alias("root_id"))
+
+
+def _reached(edges: DataFrame, with_paths: bool) -> tuple[DataFrame, DataFrame, int]:
+    """Nodes that the roots reach, the links ``child, parent`` of all others, and the number of these."""
+    pairs = materialize(hierarchy_links(edges), "pairs")
+    links = materialize(pairs.groupBy("child").agg(F.min("parent").alias("parent")), "links")
+    reached = _levels(links, pairs.select("parent").distinct(), with_paths)
+    left = links.join(reached.select(F.col("node_id").alias("child")), "child", "left_anti")
+    return reached, *materialize_counted(left, "unreached")
 
 
 def hierarchy(edges: DataFrame, with_paths: bool = False) -> DataFrame:
@@ -117,21 +128,51 @@ def hierarchy(edges: DataFrame, with_paths: bool = False) -> DataFrame:
     smallest id holds. Repeated links count once; an empty table gives no rows; extra columns of ``edges`` play
     no part.
     """
-    pairs = materialize(hierarchy_links(edges), "pairs")
-    links = materialize(pairs.groupBy("child").agg(F.min("parent").alias("parent")), "links")
-    reached = _levels(links, pairs.select("parent").distinct(), with_paths)
-    left = links.join(reached.select(F.col("node_id").alias("child")), "child", "left_anti")
-    left, n = materialize_counted(left, "unreached")
+    reached, left, n = _reached(edges, with_paths)
     if not n:
         return reached
-    lost = _cycles(left, n).select("node_id", "root_id", F.lit(-1).cast("bigint").alias("depth"))
+    lost = _cycles(left)[0].select("node_id", "root_id", F.lit(-1).cast("bigint").alias("depth"))
     return reached.unionByName(lost, allowMissingColumns=with_paths)
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """``ancestor_id, node_id, distance`` from paths: every descendant of every node, as ancestor pairs."""
+    """``ancestor_id, node_id, distance`` from paths: every descendant of every node of a tree, as ancestor pairs.
+
+    Nodes on or below a cycle have no path and so no pair here; :func:`all_descendants` has theirs too.
+    """
     return (
         tree.filter(F.col("depth") > 0)
         .select("node_id", "depth", F.posexplode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("at", "ancestor_id"))
         .select("ancestor_id", "node_id", (F.col("depth") - F.col("at")).cast("bigint").alias("distance"))
     )
+
+
+def _cycle_descendants(left: DataFrame) -> DataFrame:
+    """``ancestor_id, node_id, distance`` of the nodes on or below a cycle; ``left`` as in :func:`_cycles`."""
+    ring = materialize(_cycles(left)[1], "ring")
+    members = ring.select(F.col("node_id").alias("child"), "root_id")
+    # Opened at the link to its smallest id, a cycle is a single path; the depth on it is the place on the cycle.
+    opened = left.join(members, "child").filter(F.col("child") != F.col("root_id")).select("child", "parent")
+    starts = ring.filter(F.col("node_id") == F.col("root_id")).select(F.col("node_id").alias("parent"))
+    places = materialize(_levels(opened, starts, False), "places")
+    below = _levels(left.join(members, "child", "left_anti"), ring.select(F.col("node_id").alias("parent")), True)
+    below = materialize(below, "below")
+    entry = places.select(F.col("node_id").alias("entry"), F.col("root_id").alias("cycle"), F.col("depth").alias("at"))
+    sizes = places.groupBy(F.col("root_id").alias("cycle")).agg(F.count(F.lit(1)).alias("length"))
+    other = places.select(F.col("node_id").alias("ancestor_id"), F.col("root_id").alias("cycle"), F.col("depth").alias("place"))
+    around = below.join(entry, below["root_id"] == entry["entry"]).join(sizes, "cycle").join(other, "cycle")
+    around = around.filter(F.col("ancestor_id") != F.col("entry")).select(
+        "ancestor_id", "node_id", (F.col("depth") + F.pmod(F.col("at") - F.col("place"), F.col("length"))).alias("distance")
+    )
+    return descendants(below).unionByName(around)
+
+
+def all_descendants(edges: DataFrame) -> DataFrame:
+    """``ancestor_id, node_id, distance``: every descendant of every node, on and below cycles too.
+
+    The members of a cycle are ancestors of each other and of all nodes below; ``distance`` is the least number
+    of links, and no node is its own ancestor. Of several parents the smallest id holds, as in :func:`hierarchy`.
+    """
+    reached, left, n = _reached(edges, True)
+    pairs = descendants(reached)
+    return pairs.unionByName(_cycle_descendants(left)) if n else pairs

@@ -46,7 +46,12 @@ def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
     return H.descendants(materialize(H.hierarchy(read_table(spark, d, "edges"), with_paths=True), "tree"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_per_period, p6_found, p6_per_run, p7_found, p7_paths, p7_descendants)}
+def p7_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return H.all_descendants(read_table(spark, d, "edges"))
+
+
+_PLANS = (p2_found, p2_per_period, p6_found, p6_per_run, p7_found, p7_paths, p7_descendants, p7_all_descendants)
+QUERIES = {f.__name__: f for f in _PLANS}
 
 _REFS = """
 known AS (
@@ -122,4 +127,11 @@ ORACLE_SQL = {
     "p7_descendants": f"""WITH RECURSIVE {_LINKS}
         SELECT path[i] AS ancestor_id, node_id, depth + 1 - i AS distance
         FROM (SELECT node_id, depth, path, unnest(range(1, len(path))) AS i FROM tree)""",
+    "p7_all_descendants": f"""WITH RECURSIVE {_LINKS},
+        up AS (
+          SELECT parent AS ancestor_id, child AS node_id, 1::BIGINT AS distance, [child, parent] AS seen FROM links WHERE child <> parent
+          UNION ALL
+          SELECT l.parent, u.node_id, u.distance + 1, list_append(u.seen, l.parent)
+          FROM up u JOIN links l ON l.child = u.ancestor_id WHERE NOT list_contains(u.seen, l.parent))
+        SELECT ancestor_id, node_id, distance FROM up""",
 }

@@ -183,6 +183,25 @@ def test_descendants(spark):
     assert {tuple(r) for r in out} == {("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1)}
 
 
+def test_all_descendants_on_and_below_cycles(spark):
+    rng = random.Random(4)
+    parents = {f"n{i}": f"n{rng.randrange(max(0, i - 2), i)}" for i in range(1, 40)}
+    parents |= {"x": "y", "y": "z", "z": "x", "t1": "x", "t2": "t1", "t3": "t2", "u": "z", "self": "self", "q": "self"}
+    parents |= {f"c{i}": f"c{(i + 1) % 7}" for i in range(7)}
+    want = set()
+    for node in parents:
+        seen = [node]
+        while seen[-1] in parents and parents[seen[-1]] not in seen:
+            seen.append(parents[seen[-1]])
+            want.add((seen[-1], node, len(seen) - 1))
+    rows = [(p, c, "contains") for c, p in parents.items()]
+    edges = spark.createDataFrame(rows, "src string, dst string, relation string")
+    out = [tuple(r) for r in H.all_descendants(edges).collect()]
+    assert set(out) == want and len(out) == len(want)
+    assert {("t1", "t3", 2), ("y", "t3", 4), ("z", "x", 2), ("self", "q", 1)} <= want
+    assert H.all_descendants(edges.limit(0)).count() == 0
+
+
 def test_current_rows(spark):
     rows = [("a", "1", T(1)), ("a", "2", T(2)), ("a", "2", T(2)), ("b", None, None), (None, "x", T(1)), ("c", "1", None), ("c", "2", T(1))]
     out = current_rows(spark.createDataFrame(rows, f"id string, body string, updated_at {NTZ}"), "body")

@@ -3,9 +3,9 @@
 Markup is stripped by rule, innermost first; what stands for itself in prose (comparisons, products,
 amounts, paths, field names) matches no rule. The lines that remain go through a line-block distribution:
 text lengths are summed over a sliding window of lines, and lines are kept from a surge (the sum rises to
-the threshold) to the dive (it falls below). Lines of structure are kept always. The default threshold of
-one character cuts only stretches that markup alone had filled, so no text is lost; web pages with
-navigation can be given a higher one.
+the threshold) to the dive (it falls below). Lines of structure are kept always. At the default threshold of
+one character this step removes nothing, as a line with text reaches it alone, so no text is lost; web pages
+with navigation can be given a higher one.
 
 A body is one row, so the work is per row and moves no data; a pandas UDF is used since nested markup
 is beyond regular expressions on columns.

@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 WINDOW = 3
 SURGE = 1
 
-RESULT = "struct<text:string,marks:int,kinds:array<string>,blocks:array<struct<kind:string,text:string>>>"
+RESULT = "struct<text:string,marks:int,kinds:array<string>,blocks:array<struct<kind:string,text:string>>,notes:array<string>>"
 
 _TAG = r"</?[A-Za-z][A-Za-z0-9:-]*(?:\s+[A-Za-z_:][-\w:.]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*\s*/?>"
 _H, _L, _T, _C, _M = "\x02H", "\x02L", "\x02T", "\x02C", "\x02M"
 _KIND = {"H": "heading", "L": "list", "T": "table", "C": "code", "M": "formula"}
 
 # Commands of LaTeX that print nothing of their argument, and those that stand without braces.
-_SILENT = "label|ref|eqref|pageref|cite|citep|citet|footnote|index|bibliography|includegraphics|vspace|hspace|input|include|usepackage|documentclass"
+_SILENT = "label|ref|eqref|pageref|cite|citep|citet|index|bibliography|includegraphics|vspace|hspace|input|include|usepackage|documentclass"
 _BARE = "noindent|par|newline|newpage|clearpage|maketitle|tableofcontents|centering|hline|toprule|midrule|bottomrule|bigskip|medskip|smallskip|ldots|dots|LaTeX|TeX"
 _ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307"}
 _MATH_ENV = "equation|align|gather|multline|eqnarray|displaymath|math"
@@ -55,12 +55,13 @@ _MATHS = [
     _rx(r"^[ \t]*\$(?=[^\s$])([^$\n]*[^\s$\\])\$[ \t]*$", re.M),
 ]
 _INLINE_MATH = [_rx(r"(?<![\w$\\])\$(?=[^\s$])([^$\n]*[^\s$\\])\$(?!\d)"), _rx(r"\\\((.+?)\\\)", re.S)]
+_COMMENT = _rx(r"<!--.*?-->", re.S)
+_COMMENT_OPEN = _rx(r"<!--")
 _GONE = [
-    _rx(r"<!--.*?(?:-->|\Z)", re.S),
     _rx(r"<(script|style|noscript)\b[^<>]*>.*?</\1\s*>", re.I | re.S),
-    _rx(r"<ref\b[^<>/]*>.*?</ref\s*>", re.I | re.S),
     _rx(r"__[A-Z]{3,}__"),
 ]
+_REF = _rx(r"<ref\b[^<>/]*>(.*?)</ref\s*>", re.I | re.S)
 _FRONT = _rx(r"\A---[ \t]*\n(?:[\w.-]+:[^\n]*\n)+---[ \t]*(?:\n|\Z)")
 _HTML_HEAD = _rx(r"<h([1-6])\b[^<>]*>(.*?)</h\1\s*>", re.I | re.S)
 _HTML_ROW = _rx(r"<tr\b[^<>]*>(.*?)(?=<tr\b|</tr|</table|\Z)", re.I | re.S)
@@ -78,6 +79,7 @@ _TEX_ITEM = _rx(r"\\item\b(?:\[[^\]\n]*\])?[ \t]*")
 _TEX_ENV = _rx(r"\\(?:begin|end)\{[^{}\n]*\}(?:\[[^\]\n]*\])?")
 _TEX_HREF = _rx(r"\\href\s*\{[^{}]*\}\s*\{([^{}]*)\}")
 _TEX_SILENT = _rx(rf"[ ~]?\\(?:{_SILENT})\*?(?:\[[^\]\n]*\])?\{{[^{{}}]*\}}")
+_TEX_NOTE = _rx(r"[ ~]?\\footnote\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}")
 _TEX_WRAP = _rx(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}")
 _TEX_GROUP = _rx(r"\{\\[A-Za-z]+\s+([^{}]*)\}")
 _TEX_ACCENT = _rx(r"\\(['`^\"~=.])(?:\{\\?([A-Za-z])\}|([A-Za-z]))")
@@ -117,6 +119,7 @@ _EMPHASIS = [
 ]
 _PLAIN = _rx(r"[<&*_`~=\[#>|'$\\{+]|^[ \t]*(?:-|\d{1,9}[.)])|^ {0,3}-{2}", re.M)
 _SPACES = _rx(r"[ \t]{2,}")
+_SIGN = _rx(r"\x02[HLTCM]")
 _HOLD = _rx(r"\x03(\d+)\x03")
 
 
@@ -140,7 +143,7 @@ class _Page:
 
     def __init__(self, text: str):
         self.text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\x02", " ").replace("\x03", " ")
-        self.marks, self.kept = 0, []
+        self.marks, self.kept, self.notes = 0, [], []
 
     def sub(self, pattern: re.Pattern, to) -> int:
         self.text, n = pattern.subn(to, self.text)
@@ -163,6 +166,28 @@ class _Page:
 
         self.sub(pattern, keep)
 
+    def note(self, pattern: re.Pattern, strip) -> int:
+        """Move notes out of the text, each stripped by the rules that are still to come."""
+
+        def keep(m: re.Match) -> str:
+            page = _Page("")
+            page.text, page.kept, page.notes = m.group(1), self.kept, self.notes
+            strip(page)
+            text = " ".join(_SIGN.sub("", page.text).split())
+            if text:
+                self.notes.append(self.restore(text))
+            return ""
+
+        return self.sub(pattern, keep)
+
+    def comments(self) -> None:
+        """Comments go; one that is not closed loses its opener only."""
+        end = self.text.rfind("-->") + 3 if "-->" in self.text else 0
+        self.text, rest = self.text[:end], self.text[end:]
+        self.sub(_COMMENT, "")
+        self.text += rest
+        self.sub(_COMMENT_OPEN, "")
+
     def restore(self, line: str) -> str:
         while _HOLD.search(line):
             line = _HOLD.sub(lambda m: self.kept[int(m.group(1))], line)
@@ -185,9 +210,15 @@ def _strip(p: _Page) -> None:
         p.hold(pattern, "", 1)
     p.hold(_TEX_QUOTE, "", 1)
     p.hold(_MD_CODE, "", 2)
+    p.comments()
     for pattern in _GONE:
         p.sub(pattern, "")
-    # HTML
+    p.note(_REF, _strip_html)
+    _strip_html(p)
+
+
+def _strip_html(p: _Page) -> None:
+    """The rules from HTML on."""
     p.sub(_AUTOLINK, r"\1")
     p.sub(_HTML_HEAD, lambda m: f"\n\n{_H}{' '.join(m.group(2).split())}\n\n")
     p.sub(_HTML_ROW, lambda m: f"\n{_T}" + _HTML_CELL.sub("\t", m.group(1).strip()).replace("\n", " ") + "\n")
@@ -198,7 +229,11 @@ def _strip(p: _Page) -> None:
     for _ in range(3):  # entities may be escaped twice
         if not p.sub(_ENTITY, lambda m: html.unescape(m.group(0)).replace("\xa0", " ").replace(m.group(0), " ")):
             break
-    # LaTeX
+    _strip_tex(p)
+
+
+def _strip_tex(p: _Page) -> None:
+    """The rules from LaTeX on."""
     p.sub(
         _TEX_TABULAR,
         lambda m: "\n" + "\n".join(_T + "\t".join(c.strip() for c in r.split("&")) for r in re.split(r"\\\\", m.group(2)) if r.strip()) + "\n",
@@ -209,7 +244,8 @@ def _strip(p: _Page) -> None:
     p.sub(_TEX_HEAD, rf"\n\n{_H}\1\n\n")
     p.sub(_TEX_ITEM, f"\n{_L}")
     p.sub(_TEX_ENV, "\n")
-    p.inner(_TEX_WRAP, r"\1")
+    while p.note(_TEX_NOTE, _strip_tex) + p.sub(_TEX_WRAP, r"\1"):  # a note once its own commands are stripped
+        pass
     p.inner(_TEX_GROUP, r"\1")
     p.sub(_TEX_BARE, "")
     # wiki
@@ -255,15 +291,16 @@ def line_blocks(lengths: list[int], window: int = WINDOW, surge: int = SURGE) ->
 
 
 def clean(text: str | None, window: int = WINDOW, surge: int = SURGE) -> dict:
-    """Clean text, number of marks removed, kinds of blocks and the blocks of one body.
+    """Clean text, number of marks removed, kinds of blocks, the blocks and the notes of one body.
 
     A null text gives null text and no marks; an empty one stays empty. List items begin with a bullet
-    sign, table cells are separated by tabs, code and formulas stay letter by letter.
+    sign, table cells are separated by tabs, code and formulas stay letter by letter. The contents of ``<ref>`` and then of ``\\footnote`` are the
+    notes: they would break the sentences they hang on. Marks within a note are not counted.
     """
     if text is None:
-        return {"text": None, "marks": 0, "kinds": [], "blocks": []}
+        return {"text": None, "marks": 0, "kinds": [], "blocks": [], "notes": []}
     if not _PLAIN.search(text):
-        return {"text": text, "marks": 0, "kinds": ["text"] if text.strip() else [], "blocks": [{"kind": "text", "text": text}] if text.strip() else []}
+        return {"text": text, "marks": 0, "kinds": ["text"] if text.strip() else [], "blocks": [{"kind": "text", "text": text}] if text.strip() else [], "notes": []}
     p = _Page(text)
     _strip(p)
     lines = p.text.split("\n")
@@ -274,7 +311,7 @@ def clean(text: str | None, window: int = WINDOW, surge: int = SURGE) -> dict:
     for line, wanted in zip(lines, keep):
         at = line.find("\x02")
         kind = _KIND.get(line[at + 1 : at + 2], "text") if at >= 0 else "text"
-        body = re.sub(r"\x02[HLTCM]", "", line)
+        body = _SIGN.sub("", line)
         if not body.strip():
             gap = True
             continue
@@ -292,22 +329,22 @@ def clean(text: str | None, window: int = WINDOW, surge: int = SURGE) -> dict:
     shown = []
     for b in blocks:
         shown.append("\n".join("• " + x for x in b["text"].split("\n")) if b["kind"] == "list" else b["text"])
-    return {"text": "\n\n".join(shown), "marks": p.marks, "kinds": sorted({b["kind"] for b in blocks}), "blocks": blocks}
+    return {"text": "\n\n".join(shown), "marks": p.marks, "kinds": sorted({b["kind"] for b in blocks}), "blocks": blocks, "notes": p.notes}
 
 
 def clean_column(text, window: int = WINDOW, surge: int = SURGE):
-    """The column expression of :func:`clean`: a struct of text, marks, kinds and blocks."""
+    """The column expression of :func:`clean`: a struct of text, marks, kinds, blocks and notes."""
 
     @F.pandas_udf(RESULT)
     def convert(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([clean(x, window, surge) for x in batch], columns=["text", "marks", "kinds", "blocks"])
+            yield pd.DataFrame([clean(x, window, surge) for x in batch], columns=["text", "marks", "kinds", "blocks", "notes"])
 
     return convert(text)
 
 
 def clean_bodies(entities: DataFrame, components: DataFrame, current, **options) -> DataFrame:
-    """``src_table, id, text, marks, kinds, blocks`` of the current entities and of the components.
+    """``src_table, id, text, marks, kinds, blocks, notes`` of the current entities and of the components.
 
     ``current`` picks the current row per entity. Exact copies of a component come out once; rows without
     an id are none; extra columns play no part; empty tables give no rows.

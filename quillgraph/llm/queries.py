@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
-    return _clean(spark, d).select("src_table", "id", "text", "marks", "kinds")
+    return _clean(spark, d).select("src_table", "id", "text", "marks", "kinds", "notes")
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -99,6 +99,15 @@ def test_structure_is_kept():
     assert kinds("Contenedor\n==========\r\n\r\nuno")[0] == ("heading", "Contenedor")
 
 
+def test_no_text_is_lost_with_notes_and_comments():
+    out = M.clean("uno<ref name=x>a **b** `c*`</ref> dos\\footnote{see \\emph{d} and \\'{e}} tres <ref></ref>")
+    assert out["text"] == "uno dos tres" and out["notes"] == ["a b c*", "see d and é"]
+    assert M.clean("uno\\footnote{a-1} dos")["notes"] == ["a-1"]
+    assert M.clean("uno <!-- x --> dos <!-- tres\ncuatro")["text"] == "uno dos tres\ncuatro"
+    assert M.clean("x")["notes"] == M.clean(None)["notes"] == []
+    M.clean("<!-- " * 20_000)
+
+
 def test_line_blocks():
     assert M.line_blocks([5, 0, 0, 0, 0, 5], 3, 1) == [True, True, True, True, True, True]
     assert M.line_blocks([5, 0, 0, 0, 0, 0, 5], 2, 1) == [True, True, False, False, False, True, True]

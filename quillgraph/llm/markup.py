@@ -117,7 +117,7 @@ _EMPHASIS = [
     _rx(r"()~~(?=\S)([^~\n]*\S)~~"),
     _rx(r"()==(?=[^\s=])([^=\n]*[^\s=])==(?!=)"),
 ]
-_PLAIN = _rx(r"[<&*_`~=\[#>|'$\\{+]|^[ \t]*(?:-|\d{1,9}[.)])|^ {0,3}-{2}", re.M)
+_PLAIN = _rx(r"[<&*_`~=\[\]#>|'$\\{}+]|^[ \t]*(?:-|\d{1,9}[.)])|^ {0,3}-{2}", re.M)
 _SPACES = _rx(r"[ \t]{2,}")
 _SIGN = _rx(r"\x02[HLTCM]")
 _HOLD = _rx(r"\x03(\d+)\x03")
@@ -138,11 +138,15 @@ def _accent(m: re.Match) -> str:
     return unicodedata.normalize("NFC", (m.group(2) or m.group(3)) + _ACCENTS[m.group(1)])
 
 
+def _line_ends(text: str) -> str:
+    return text.replace("\r\n", "\n").replace("\r", "\n")
+
+
 class _Page:
     """One text under conversion: the rules' hits are counted, code and formulas are held aside."""
 
     def __init__(self, text: str):
-        self.text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\x02", " ").replace("\x03", " ")
+        self.text = _line_ends(text).replace("\x02", " ").replace("\x03", " ")
         self.marks, self.kept, self.notes = 0, [], []
 
     def sub(self, pattern: re.Pattern, to) -> int:
@@ -299,7 +303,7 @@ def clean(text: str | None, window: int = WINDOW, surge: int = SURGE) -> dict:
     """
     if text is None:
         return {"text": None, "marks": 0, "kinds": [], "blocks": [], "notes": []}
-    if not _PLAIN.search(text):
+    if not _PLAIN.search(_line_ends(text)):
         return {"text": text, "marks": 0, "kinds": ["text"] if text.strip() else [], "blocks": [{"kind": "text", "text": text}] if text.strip() else [], "notes": []}
     p = _Page(text)
     _strip(p)

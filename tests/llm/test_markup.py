@@ -82,6 +82,13 @@ def test_plain_text_has_no_markup(text):
     assert out["text"].strip() == text.strip()
 
 
+def test_plain_shortcut_is_no_narrower_than_the_rules():
+    for text, want in {"uno}} dos": "uno dos", "uno]] dos": "uno dos", "uno\r- dos": "uno\n\n• dos", "uno\r1. dos": "uno\n\n• dos"}.items():
+        out = M.clean(text)
+        assert (out["text"], out["marks"]) == (want, 1)
+    assert M.clean("uno} dos] tres\rcuatro")["marks"] == 0
+
+
 def kinds(text):
     return [(b["kind"], b["text"]) for b in M.clean(text)["blocks"]]
 

@@ -6,7 +6,8 @@ body, the column margin the occurrences of the keyword in all bodies. With expec
 
 Counting keywords in all bodies needs no list of them on the workers: every run of up to W words of a body
 is looked up in a bitmap of keyword hashes of fixed size. It lets all keywords pass and few other runs; the
-exact join with the keywords removes those. W is the length of the longest keyword.
+exact join with the keywords removes those. W is the length of the longest keyword. Keywords of signs only
+are looked up in the stretches between words, at the lengths that such keywords have.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ BITMAP_BITS = 25
 _BUCKET = 32768
 
 _WORD = re.compile(r"\w+")
+_GAP = re.compile(r"\W+")
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -70,11 +72,19 @@ def _batch(ids: list, names: list, counts: list, column: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["id", column, "n"])
 
 
-def _counter(bits, longest: int):
-    """Rows ``id, core, n`` for ``id, body``: each run of words in the bitmap with its number, and the number of words under a null core."""
+def _counter(bits, longest: int, lengths: list[int]):
+    """Rows ``id, core, n`` for ``id, body``: each run of words or signs in the bitmap with its number, and the number of words under a null core.
+
+    ``lengths`` are those of the keywords of signs only.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, mask = bits.value, (1 << BITMAP_BITS) - 1
+
+        def listed(run: str) -> bool:
+            slot = xxhash.xxh64_intdigest(run.encode(), 42) & mask
+            return bool(held[slot >> 3] >> (slot & 7) & 1)
+
         for batch in batches:
             ids, cores, counts = [], [], []
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -89,6 +99,10 @@ def _counter(bits, longest: int):
                             at = seen.setdefault(run, [0, -1])
                             if start >= at[1]:
                                 at[0], at[1] = at[0] + 1, end
+                if lengths:
+                    gaps = set(_GAP.findall(text))
+                    runs = {g[i : i + n] for g in gaps for n in lengths for i in range(len(g) - n + 1)}
+                    seen |= {x: [n, -1] for x in runs if listed(x) and (n := count_term(x, text))}
                 ids += [key] * (len(seen) + 1)
                 cores += [None, *seen]
                 counts += [len(spans), *(x[0] for x in seen.values())]
@@ -109,7 +123,7 @@ def distinctive_terms(entities: DataFrame, terms: DataFrame, current, materializ
     Keywords are in normal form, listed once per entity; ``n_records`` is how many distinct non-empty ids list
     the term (existing or not). A keyword that is not in the body has a negative or zero score; a null or empty
     body counts no words and scores 0. A keyword that begins or ends with a sign is counted by its core
-    first and verified by the whole; one of signs only counts in the bodies of the records that list it.
+    first and verified by the whole; one of signs only is counted as it stands, in all bodies too.
     """
     record = F.when(F.col("entity_id") != "", F.col("entity_id"))
     pairs = terms.select(normal_term(F.col("term")).alias("term"), record.alias("entity_id"))
@@ -118,12 +132,13 @@ def distinctive_terms(entities: DataFrame, terms: DataFrame, current, materializ
     listed = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n_records"))
     vocab = listed.select("term", "n_records", _core_column("term").alias("c")).select("term", "n_records", "c.*")
     vocab = materialize(vocab, "vocab")
-    longest = vocab.agg(F.max("words")).first()[0] or 1
+    signs = F.col("core") == ""
+    longest, lengths = vocab.agg(F.max("words"), F.collect_set(F.when(signs, F.length("term")))).first()
     spark = entities.sparkSession
-    bits = spark.sparkContext.broadcast(keyword_bitmap(vocab.filter(F.col("core") != "").select("core").distinct()))
+    bits = spark.sparkContext.broadcast(keyword_bitmap(vocab.select(F.when(signs, F.col("term")).otherwise(F.col("core")).alias("core")).distinct()))
 
     bodies = materialize(current(entities, "body"), "bodies")
-    counted = bodies.select("id", "body").mapInArrow(_counter(bits, longest), "id string, core string, n bigint")
+    counted = bodies.select("id", "body").mapInArrow(_counter(bits, longest or 1, lengths), "id string, core string, n bigint")
     counted = materialize(counted, "counted")
     margin = counted.filter(F.col("core").isNull()).select("id", F.col("n").alias("row_n"))
     total = margin.agg(F.sum("row_n")).scalar()
@@ -131,10 +146,9 @@ def distinctive_terms(entities: DataFrame, terms: DataFrame, current, materializ
 
     plain = vocab.filter(F.col("term") == F.col("core"))
     odd = vocab.filter(F.col("term") != F.col("core")).select("term", "core")
-    # Candidates of odd terms: a record that has the core, or lists a term of signs only.
+    # Candidates of odd terms: the records that have the core. Those of signs only are counted already.
     by_core = found.join(odd.filter(F.col("core") != ""), "core").select("id", "term")
-    by_list = pairs.join(odd.filter(F.col("core") == ""), "term").select(F.col("entity_id").alias("id"), "term")
-    verified = by_core.unionByName(by_list).distinct().join(bodies, "id").select("id", "term", "body").mapInArrow(_verify, "id string, term string, n bigint")
+    verified = by_core.distinct().join(bodies, "id").select("id", "term", "body").mapInArrow(_verify, "id string, term string, n bigint")
     cells = found.select("id", F.col("core").alias("term"), "n").unionByName(verified.filter(F.col("n") > 0))
     cells = materialize(cells, "cells")
 

@@ -56,6 +56,17 @@ def test_scores_against_brute_force(spark):
             assert abs(got[k][1] - score) < 1e-9, k
 
 
+def test_signs_count_in_all_bodies(spark):
+    bodies = {"a": "uno → dos → → tres", "b": "→ uno +++ dos", "c": "uno++ dos ++, → 🚚🚚 x→ →", "d": "uno dos", "e": "🚚 → \n→"}
+    listed = {("a", "→"), ("d", "→"), ("a", "++"), ("b", "++"), ("d", "→ →"), ("c", "🚚"), ("a", "uno")}
+    rows = run(spark, [(k, b, None, "q", 1) for k, b in bodies.items()], [(t, r, "z", 1) for r, t in listed]).collect()
+    got = {(r["entity_id"], r["term"]): (r["n_in_body"], r["n_in_all"], r["score"]) for r in rows}
+    want = brute_scores(bodies, listed)
+    assert len(rows) == len(want) and set(got) == set(want)
+    for k, (own, total, score) in want.items():
+        assert got[k][:2] == (own, total) and abs(got[k][2] - score) < 1e-9, k
+
+
 def test_empty_tables(spark):
     assert run(spark, [], []).count() == 0
     assert run(spark, [("a", "uno", None, "q", 1)], []).count() == 0

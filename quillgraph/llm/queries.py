@@ -75,7 +75,7 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_pairs(read_table(spark, d, "documents"), materialize)
+    return spans.shared_pairs(spans.shared_classes(read_table(spark, d, "documents"), materialize))
 
 
 def p10_share(spark: SparkSession, d: str) -> DataFrame:

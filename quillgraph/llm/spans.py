@@ -2,71 +2,54 @@
 
 Windows. Every stretch of SPAN characters holds SPAN - GRAM + 1 windows of GRAM characters; the one with the
 least hash among them is selected. The choice depends on the characters alone, so two records that share a
-stretch select the same window of it: about one window in 25 is enough, and none is lost.
-
-First pass: each partition counts the hashes of its selected windows, once per record, in a count-min sketch;
-the sketches are merged block by block. A cell can only count too much, so a window of two records is
-always estimated as repeated. The merged sketch is a bitmap of fixed size (SKETCH_BITS), whatever the
-input; a fuller one only lets more windows through.
-
-Second pass: only windows estimated as repeated are written, with the characters on both sides that a
-stretch over this window can reach. They are grouped exactly by a 128-bit hash; two records share a stretch if
-the equal characters left and right of a common window make up the rest of SPAN. A window that stands in
-very many records (a boilerplate shorter than SPAN) would make many pairs that share no more than it; such
-groups are refined by the whole stretch first, at a linear cost.
+stretch select the same window of it: about one window in 26 is enough, and none is lost. With GRAM = SPAN
+every window is selected; the result is the same (see the tests, and the README for figures of both).
+
+First pass: every FLUSH windows a partition writes a sparse sketch of what it met: each window once, with the
+record or with the mark that several records have it. The sketches are cut into slices by hash, and those of a
+slice are merged in a count-min sketch, whose size follows from the windows counted there. A cell can only count
+too much, so a window of two records is always estimated as repeated; of the others about one in 20 is, whatever the
+size of the input, as slices become more and not fuller. A window in very many records is one entry for each
+flush. Nothing is broadcast; 10 bytes are moved for each window.
+
+Second pass: only records with windows estimated as repeated are read again. These windows, with the characters
+on both sides that a stretch over them can reach, are grouped exactly, by a 128-bit digest of the window and by the
+characters beside it.
+
+Classes. A stretch class is a stretch of SPAN characters or more with all records that hold it. Records with the
+same characters on both sides of a window are a class at once, however many they are; only where these
+characters differ are the stretches over a window compared. Work and rows are linear in the windows; pairs are
+made last, from the classes with different members, for those who ask for pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .rolling import Stretches, code_points
 
 SPAN = 300
 GRAM = 250
-#: Cells of a row of the sketch, as a power of two; two rows of 4 MB.
-SKETCH_BITS = 25
-ROWS = 2
-#: Occurrences of a window up to which its pairs are compared directly.
-DIRECT = 64
-
-_BLOCK = 16  # cells of a block of the sketch, as a power of two
-_FLUSH = 1 << 22
-_CHUNK = 1 << 20
-_BASE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
+#: Windows and records of a sparse sketch at most; the record's number is 16 bits.
+FLUSH = 1 << 18
+FLUSH_RECORDS = (1 << 16) - 1
+#: Entries of a slice of the merged sketch, about; cells of a row for each entry, at least.
+SLICE = 1 << 21
+CELLS = 4
+
+_CHUNK = 1 << 18
+_STRANDS = 8  # bits: each sparse sketch is written in 256 parts by hash
+_SEVERAL = (1 << 16) - 1  # in place of a record's number: several records of the flush have the window
 _ODD = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of the bases and of their inverses modulo 2**64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.n = 0
-
-    def get(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 15)
-            self.all = []
-            for base in _BASE:
-                both = []
-                for b in (base, pow(base, -1, 1 << 64)):
-                    a = np.full(self.n, b, np.uint64)
-                    a[0] = 1
-                    both.append(np.cumprod(a, dtype=np.uint64))
-                self.all.append(tuple(both))
-        return self.all
-
-
-_POWERS = _Powers()
+_RECORDS, _REPEATED = -2, -1  # parts of a flush that are no sketch: its records, and its repeated windows
 
 
 def _sliding(a: np.ndarray, w: int, op) -> np.ndarray:
@@ -79,215 +62,302 @@ def _sliding(a: np.ndarray, w: int, op) -> np.ndarray:
     return op(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def selected(text: str, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places and two hashes of the selected windows of a text; none if it is shorter than ``span``."""
-    none = (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64))
-    if len(text) < span:
-        return none
-    out = []
-    for at in range(0, max(1, len(text) - span + 1), _CHUNK):  # stretches lie within one chunk of a very long text
-        out.append([x + at if i == 0 else x for i, x in enumerate(_chunk(text[at : at + _CHUNK + span - 1], span, gram))])
-    places, first, second = (np.concatenate(x) for x in zip(*out))
-    if len(out) > 1:
-        places, keep = np.unique(places, return_index=True)
-        first, second = first[keep], second[keep]
-    return places, first, second
+def _chunks(texts: list[str | None], span: int) -> Iterator[list[tuple[int, int, str]]]:
+    """``(index, offset, part)`` in lists of about _CHUNK characters; every stretch of ``span`` lies in one part."""
+    held: list[tuple[int, int, str]] = []
+    n = 0
+    for i, text in enumerate(texts):
+        for at in range(0, len(text) - span + 1 if text else 0, _CHUNK):
+            held.append((i, at, text[at : at + _CHUNK + span - 1]))
+            n += len(held[-1][2])
+            if n >= _CHUNK:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
 
 
-def _chunk(text: str, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n, w = len(codes), span - gram + 1
-    powers = _POWERS.get(n + 1)
-    values = _mix(codes + np.uint64(0x9E3779B97F4A7C15))
+def selected(texts: list[str | None], span: int = SPAN, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index of the text, place and hash of the selected windows; texts shorter than ``span`` have none.
 
-    def hashes(k: int) -> np.ndarray:
-        up, down = powers[k]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[:n], dtype=np.uint64)])
-        return _mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+    A window at the seam of two parts of a very long text may come twice.
+    """
+    w = span - gram + 1
+    for held in _chunks(texts, span):
+        sizes = np.array([len(x[2]) for x in held])
+        ends = np.cumsum(sizes)
+        codes = code_points("".join(x[2] for x in held))
+        part = np.repeat(np.arange(len(held)), sizes)
+        first = Stretches(codes).windows(gram) | np.uint64(1)
+        least = _sliding(first, w, np.minimum)
+        least[np.arange(span, len(codes) + 1) > ends[part[: len(least)]]] = 0  # stretches over the end of a text
+        edge = np.zeros(w - 1, np.uint64)
+        at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), w, np.maximum) == first)
+        part_at = part[at]
+        index, offset = np.array([x[0] for x in held]), np.array([x[1] for x in held])
+        yield index[part_at], at - (ends - sizes)[part_at] + offset[part_at], first[at]
+
+
+def _first_of_runs(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the row before in some column."""
+    fresh = np.ones(len(columns[0]), bool)
+    fresh[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return fresh
+
+
+def sparse_sketches(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """First pass: ``flush, part, records, h, n``; ``h`` and ``n`` are packed hashes and numbers of records.
+
+    Parts 0 to 255 are the sketch: each window of the flush once, by hash. Part _RECORDS has the ids of the records
+    by number, part _REPEATED the windows that several records of the flush have, with each of these.
+    """
+    kind = to_arrow_type(documents.schema["doc_id"].dataType)
+    names = ["flush", "part", "records", "h", "n"]
 
-    first = hashes(0)
-    least = _sliding(first, w, np.minimum)
-    edge = np.zeros(w - 1, np.uint64)
-    reach = _sliding(np.concatenate([edge, least, edge]), w, np.maximum)
-    places = np.flatnonzero(reach == first)
-    return places, first[places], hashes(1)[places]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        flush, n = TaskContext.get().partitionId() << 32, 0
+
+        def sketch() -> pa.RecordBatch:
+            number, h = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((number, h))
+            h, number = h[order], number[order]
+            keep = _first_of_runs(h, number)
+            h, number = h[keep], number[keep]
+            starts = np.flatnonzero(_first_of_runs(h))
+            counts = np.diff(np.append(starts, len(h)))
+            several = np.repeat(counts > 1, counts)
+            rows = [(flush, _RECORDS, ids, b"", b"")]
+            if several.any():
+                rows.append((flush, _REPEATED, None, h[several].tobytes(), number[several].tobytes()))
+            one, h = np.where(counts > 1, np.uint16(_SEVERAL), number[starts]), h[starts]
+            strand = (h >> np.uint64(64 - _STRANDS)).astype(np.int64)
+            edges = np.searchsorted(strand, np.arange((1 << _STRANDS) + 1))
+            rows += [(flush, i, None, h[a:b].tobytes(), one[a:b].tobytes()) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            columns = zip(zip(*rows), (pa.int64(), pa.int32(), pa.list_(kind), pa.binary(), pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=names)
 
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            for index, _, h in selected(texts, span, gram):
+                while len(index):
+                    room = FLUSH_RECORDS - len(ids)
+                    mine, number = np.unique(index, return_inverse=True)
+                    now = number < room
+                    held.append(((number[now] + len(ids)).astype(np.uint16), h[now]))
+                    ids += keys.take(pa.array(mine[:room])).to_pylist()
+                    n += len(held[-1][1])
+                    if n >= FLUSH or len(ids) >= FLUSH_RECORDS:
+                        yield sketch()
+                        held, ids = [], []
+                        flush, n = flush + 1, 0
+                    index, h = index[~now], h[~now]
+        if held:
+            yield sketch()
 
-def _cells(first: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(first * np.uint64(odd)) >> np.uint64(64 - bits) for odd in _ODD[:ROWS]]
+    ddl = f"flush bigint, part int, records array<{documents.schema['doc_id'].dataType.simpleString()}>, h binary, n binary"
+    return documents.select("doc_id", "text").mapInArrow(count, ddl)
 
 
-def repeated_cells(documents: DataFrame, span: int = SPAN, gram: int = GRAM, bits: int = SKETCH_BITS) -> np.ndarray:
-    """First pass: the merged sketch as bits, ROWS x 2**bits / 8 bytes; a bit is set where a cell counts two or more.
+def estimated_repeated(h: np.ndarray, several: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    """Which entries of a slice its count-min sketch estimates at two or more; an entry of several counts twice."""
+    bits = max(4, (cells * max(1, len(h)) - 1).bit_length())
+    out = np.ones(len(h), bool)
+    for odd in _ODD:
+        at = ((h * np.uint64(odd)) >> np.uint64(64 - bits)).astype(np.int64)
+        counts = np.bincount(at, minlength=1 << bits)
+        counts += np.bincount(at[several], minlength=1 << bits)
+        out &= counts[at] > 1
+    return out
 
-    A partition writes the cells it met, and those it met twice, as 16-bit numbers by block of 65,536 cells.
-    A block's parts are merged in a stream, in counters of fixed size.
+
+def repeated_windows(sketches: DataFrame, n: int, slice_size: int = SLICE, cells: int = CELLS) -> DataFrame:
+    """``flush, part (_REPEATED), records (null), h, n``: the windows of the sketches that a slice estimates as repeated.
+
+    ``n`` is the number of entries of all sketches, from which the number of slices follows.
     """
+    finer = max(0, (-(-n // slice_size) - 1).bit_length() - _STRANDS)
+    shift = np.uint64(64 - _STRANDS - finer)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            first = np.concatenate(held)
-            blocks, once, twice = [], [], []
-            for row, cells in enumerate(_cells(first, bits)):
-                cells, n = np.unique(cells, return_counts=True)
-                block = cells >> np.uint64(_BLOCK)
-                edges = np.flatnonzero(np.diff(block, prepend=block[:1] - np.uint64(1), append=block[-1:] + np.uint64(1)))
-                for a, b in zip(edges, edges[1:]):
-                    low = (cells[a:b] & np.uint64((1 << _BLOCK) - 1)).astype("<u2")
-                    blocks.append(int(block[a]) + (row << (bits - _BLOCK)))
-                    once.append(low.tobytes())
-                    twice.append(low[n[a:b] > 1].tobytes())
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], names=["block", "once", "twice"])
-
-        n = 0
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
-                text = text.as_py()
-                if text is not None and len(text) >= span:
-                    held.append(np.unique(selected(text, span, gram)[1]))
-                    n += len(held[-1])
-                    if n > _FLUSH:
-                        yield flush()
-                        n = 0
-        if held:
-            yield flush()
+            rows = []
+            for flush, h, number in zip(*(c.to_pylist() for c in batch.columns)):
+                h, number = np.frombuffer(h, np.uint64), np.frombuffer(number, np.uint16)
+                at = (h >> shift).astype(np.int64)
+                edges = np.append(np.flatnonzero(_first_of_runs(at)), len(at))
+                rows += [(int(at[a]), flush, h[a:b].tobytes(), number[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
+            columns = zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["slice", "flush", "h", "n"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, counts = None, np.zeros(1 << _BLOCK, np.uint32)
+        at, held = None, []
 
         def done() -> pa.RecordBatch:
-            packed = np.packbits(counts > 1, bitorder="little").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed], pa.binary())], names=["block", "bits"])
+            h, number = (np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in ((1, np.uint64), (2, np.uint16)))
+            flush = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1]) // 8 for x in held])
+            keep = estimated_repeated(h, number == _SEVERAL, cells) & (number != _SEVERAL)
+            h, number, flush = h[keep], number[keep], flush[keep]
+            order = np.argsort(flush, kind="stable")
+            h, number, flush = h[order], number[order], flush[order]
+            edges = np.append(np.flatnonzero(_first_of_runs(flush)), len(flush)) if len(flush) else [0]
+            rows = [(int(flush[a]), h[a:b].tobytes(), number[a:b].tobytes()) for a, b in zip(edges, edges[1:])]
+            columns = zip(zip(*rows) if rows else [()] * 3, (pa.int64(), pa.binary(), pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["flush", "h", "n"])
 
         for batch in batches:
-            for block, once, twice in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if block != at:
-                    if at is not None:
+            for slice_, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if slice_ != at:
+                    if held:
                         yield done()
-                    at = block
-                    counts[:] = 0
-                counts[np.frombuffer(once, "<u2")] += 1
-                counts[np.frombuffer(twice, "<u2")] += 1
-        if at is not None:
+                    at, held = slice_, []
+                held.append(row)
+        if held:
             yield done()
 
-    parts = documents.select("text").mapInArrow(count, "block int, once binary, twice binary")
-    merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
-    out = np.zeros(ROWS << (bits - 3), np.uint8)
-    for row in merged.collect():  # of fixed size: ROWS x 2**bits / 8 bytes
-        at = row["block"] << (_BLOCK - 3)
-        out[at : at + (1 << (_BLOCK - 3))] = np.frombuffer(row["bits"], np.uint8)
-    return out
+    parts = sketches.filter("part >= 0").select("flush", "h", "n", F.col("part").cast("bigint").alias("slice"))
+    if finer:
+        parts = parts.select("flush", "h", "n").mapInArrow(cut, "slice bigint, flush bigint, h binary, n binary")
+    sliced = parts.select("slice", "flush", "h", "n").repartition("slice").sortWithinPartitions("slice")
+    found = sliced.mapInArrow(merge, "flush bigint, h binary, n binary")
+    records = F.lit(None).cast(sketches.schema["records"].dataType)
+    return found.select("flush", F.lit(_REPEATED).alias("part"), records.alias("records"), "h", "n")
+
+
+def repeated_by_record(sketches: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``doc_id, hashes``: the repeated windows of each record, packed."""
+    records = sketches.schema["records"].dataType
+    kind = to_arrow_type(records.elementType)
 
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, held = None, None, []
+
+        def done() -> pa.RecordBatch:
+            h, number = (np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in ((0, np.uint64), (1, np.uint16)))
+            order = np.argsort(number, kind="stable")
+            h, number = h[order], number[order]
+            starts = np.flatnonzero(_first_of_runs(number))
+            edges = np.append(starts, len(number))
+            packed = [h[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+            return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in number[starts].tolist()], kind), pa.array(packed, pa.binary())], names=["doc_id", "hashes"])
+
+        for batch in batches:
+            for i, (flush, part) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if flush != at:
+                    if held:
+                        yield done()
+                    at, held = flush, []
+                if part == _RECORDS:  # the first of each flush
+                    ids = batch.column(2)[i].as_py()
+                else:
+                    held.append((batch.column(3)[i].as_py(), batch.column(4)[i].as_py()))
+        if held:
+            yield done()
 
-def _is_repeated(first: np.ndarray, sketch: np.ndarray, bits: int) -> np.ndarray:
-    keep = np.ones(len(first), bool)
-    for row, cells in enumerate(_cells(first, bits)):
-        at = (cells + np.uint64(row << bits)).astype(np.int64)
-        keep &= (sketch[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-    return keep
+    rows = sketches.filter("part < 0").unionByName(repeated).repartition("flush").sortWithinPartitions("flush", "part")
+    return rows.mapInArrow(resolve, f"doc_id {records.elementType.simpleString()}, hashes binary")
 
 
-def candidate_windows(documents: DataFrame, sketch, span: int = SPAN, gram: int = GRAM, bits: int = SKETCH_BITS) -> DataFrame:
-    """Second pass: ``doc_id, h1, h2, left, right, places`` of the windows estimated as repeated.
+def candidate_windows(documents: DataFrame, wanted: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """Second pass: ``doc_id, k, left, right, places`` of the windows estimated as repeated.
 
-    ``left`` and ``right`` are up to ``span - gram`` characters beside the window; equal rows of a record (in a
-    run of one character) come out once, with all their places.
+    ``k`` is the digest of the window; ``left`` and ``right`` are up to ``span - gram`` characters beside it. Equal
+    rows of a record (in a run of one character) come out once, with all their places.
     """
-    reach, kind = span - gram, dict(documents.dtypes)["doc_id"]
+    reach = span - gram
+    names = ["doc_id", "k", "left", "right", "places"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sketch.value
         for batch in batches:
-            rows: list[tuple] = []
-            for key, text in zip(batch.column(0), batch.column(1)):
-                text = text.as_py()
-                if text is None or len(text) < span:
-                    continue
-                places, first, second = selected(text, span, gram)
-                keep = _is_repeated(first, held, bits)
-                mine: dict[tuple, list[int]] = {}
-                for at, a, b in zip(places[keep].tolist(), first[keep].view(np.int64).tolist(), second[keep].view(np.int64).tolist()):
-                    mine.setdefault((a, b, text[max(0, at - reach) : at], text[at + gram : at + gram + reach]), []).append(at)
-                key = key.as_py()
-                rows += [(key, *k, v) for k, v in mine.items()]
-            cols = list(zip(*rows)) if rows else [()] * 6
-            types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "h1", "h2", "left", "right", "places"])
-
-    return documents.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, h1 bigint, h2 bigint, left string, right string, places array<int>")
-
-
-def _shared(documents: DataFrame, materialize, span: int, gram: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """Window rows of small groups, and stretch rows of large ones."""
-    sketch = documents.sparkSession.sparkContext.broadcast(repeated_cells(documents, span, gram, bits))
-    rows = materialize(candidate_windows(documents, sketch, span, gram, bits), "windows")
-    size = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-    size = size.filter(F.col("a") != F.col("b")).select("h1", "h2", "n")
-    sized = materialize(rows.join(size, ["h1", "h2"]), "sized")
-    reach = span - gram
-    direct = sized.filter(F.col("n") <= DIRECT)
-    offsets = F.sequence(F.greatest(F.lit(0), reach - F.length("right")), F.least(F.lit(reach), F.length("left")))
-    enough = F.length("left") + F.length("right") >= reach
-    large = (
-        sized.filter((F.col("n") > DIRECT) & enough)
-        .select("doc_id", "h1", "h2", "left", "right", "places", F.explode(offsets).alias("l"))
-        .select("doc_id", "h1", "h2", "l", F.expr(f"concat(right(left, l), left(right, {reach} - l))").alias("beside"), "places")
-    )
-    return direct, large
-
-
-def _direct_pairs(direct: DataFrame, reach: int, one_way: bool) -> DataFrame:
-    """Pairs of window rows of different records whose equal neighbours make up ``reach`` characters."""
-    a, b = (direct.select("h1", "h2", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "left", "right", "places")]) for s in "ab")
-    order = F.col("doc_id_a") < F.col("doc_id_b") if one_way else F.col("doc_id_a") != F.col("doc_id_b")
-    both = a.join(b, ["h1", "h2"]).filter(order)
-    meets = F.expr(
-        f"""(left_a = left_b AND right_a = right_b AND length(left_a) + length(right_a) >= {reach})
-        OR exists(sequence(0, {reach}), l -> l <= least(length(left_a), length(left_b))
-            AND {reach} - l <= least(length(right_a), length(right_b))
-            AND right(left_a, l) = right(left_b, l) AND left(right_a, {reach} - l) = left(right_b, {reach} - l))"""
-    )
-    return both.filter(meets)
-
-
-def shared_pairs(documents: DataFrame, materialize, span: int = SPAN, gram: int = GRAM, bits: int = SKETCH_BITS) -> DataFrame:
-    """``doc_id_a, doc_id_b`` (the smaller first): records with an identical stretch of ``span`` characters.
-
-    Null texts and texts shorter than ``span`` have none. Repeated rows of one id are one record.
+            texts, lists = batch.column(1).to_pylist(), [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            mine: dict[tuple, set[int]] = {}
+            for index, place, h in selected(texts, span, gram):
+                edges = np.append(np.flatnonzero(_first_of_runs(index)), len(index)) if len(index) else [0]
+                for a, b in zip(edges, edges[1:]):
+                    i = int(index[a])
+                    text = texts[i]
+                    for at in place[a:b][np.isin(h[a:b], lists[i])].tolist():
+                        digest = blake2b(text[at : at + gram].encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                        mine.setdefault((i, digest, text[max(0, at - reach) : at], text[at + gram : at + gram + reach]), set()).add(at)
+            index, *cols = zip(*mine) if mine else [()] * 4
+            columns = [batch.column(0).take(pa.array(index, pa.int64())), pa.array(cols[0], pa.binary()), *(pa.array(c, pa.string()) for c in cols[1:])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([sorted(x) for x in mine.values()], pa.list_(pa.int32()))], names=names)
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    read = documents.select("doc_id", "text").join(wanted, "doc_id")
+    return read.select("doc_id", "text", "hashes").mapInArrow(find, f"doc_id {kind}, k binary, left string, right string, places array<int>")
+
+
+_BESIDE = ["k", "left", "right"]
+_STRETCH = ["k", "l", "beside"]
+
+
+class _Shared:
+    """Windows of several records, and the stretches over them that several records hold."""
+
+    def __init__(self, documents: DataFrame, materialize, span: int, gram: int, slice_size: int, cells: int):
+        reach = self.reach = span - gram
+        sketches = materialize(sparse_sketches(documents, span, gram), "sketches")
+        n = sketches.filter("part >= 0").agg(F.coalesce(F.sum(F.octet_length("n")), F.lit(0))).first()[0] // 2
+        repeated = repeated_windows(sketches, n, slice_size, cells)
+        wanted = materialize(repeated_by_record(sketches, repeated), "wanted")
+        self.rows = materialize(candidate_windows(documents, wanted, span, gram), "windows")
+        # Characters beside a window, with the least and the greatest record that has them.
+        beside = self.rows.groupBy(*_BESIDE).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+        beside = materialize(beside, "beside")
+        enough = F.length("left") + F.length("right") >= reach
+        self.whole = beside.filter(enough & (F.col("a") != F.col("b")))
+        differ = beside.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("least"), F.max("b").alias("most"))
+        differ = differ.filter((F.col("n") > 1) & (F.col("least") != F.col("most"))).select("k")
+        lengths = F.sequence(F.greatest(F.lit(0), reach - F.length("right")), F.least(F.lit(reach), F.length("left")))
+        over = beside.filter(enough).join(differ, "k").select("*", F.explode(lengths).alias("l"))
+        over = over.withColumn("beside", F.expr(f"concat(right(left, l), left(right, {reach} - l))"))
+        signature = F.bit_xor(F.xxhash64("left", "right")).alias("x"), F.bit_xor(F.xxhash64("right", F.lit(1), "left")).alias("y")
+        common = over.groupBy(*_STRETCH).agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("least"), F.max("b").alias("most"), *signature)
+        common = common.filter((F.col("n") > 1) & (F.col("least") != F.col("most"))).select(*_STRETCH, "n", "x", "y")
+        self.parts = materialize(over.join(common, _STRETCH).select(*_BESIDE, "l", "beside", "n", "x", "y"), "stretches")
+
+
+def shared_classes(documents: DataFrame, materialize, span: int = SPAN, gram: int = GRAM, slice_size: int = SLICE, cells: int = CELLS) -> DataFrame:
+    """``class_id, doc_id``: stretches of ``span`` characters or more with the records that hold them.
+
+    Of classes with the same records one stands for all. Two records are in a common class if and only if they share
+    such a stretch. Null texts and texts shorter than ``span`` are in none, nor are rows without an id; repeated
+    rows of one id are one record.
     """
-    direct, large = _shared(documents, materialize, span, gram, bits)
-    near = _direct_pairs(direct, span - gram, True).select("doc_id_a", "doc_id_b")
-    keys = ["h1", "h2", "l", "beside"]
-    members = large.select(*keys, "doc_id").distinct()
-    far = members.withColumnRenamed("doc_id", "doc_id_a").join(members.withColumnRenamed("doc_id", "doc_id_b"), keys)
-    far = far.filter(F.col("doc_id_a") < F.col("doc_id_b")).select("doc_id_a", "doc_id_b")
-    return near.unionByName(far).distinct()
-
-
-def shared_shares(documents: DataFrame, materialize, span: int = SPAN, gram: int = GRAM, bits: int = SKETCH_BITS) -> DataFrame:
+    s = _Shared(documents, materialize, span, gram, slice_size, cells)
+    whole = s.whole.select(*_BESIDE, F.md5(F.concat_ws("\0", F.hex("k"), F.length("left"), "left", "right")).alias("class_id"))
+    # Neighbouring stretches over a window mostly have the same members.
+    one = s.parts.groupBy("k", "n", "x", "y").agg(F.min(F.struct("l", "beside")).alias("m")).select("k", "m.l", "m.beside")
+    part = s.parts.join(one, _STRETCH).select(*_BESIDE, F.md5(F.concat_ws("\1", F.hex("k"), "l", "beside")).alias("class_id"))
+    members = whole.unionByName(part).join(s.rows.select(*_BESIDE, "doc_id"), _BESIDE).select("class_id", "doc_id").distinct()
+    members = materialize(members, "members")
+    key = F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "doc_id")).alias("y")
+    sets = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), *key)
+    kept = sets.groupBy("n", "x", "y").agg(F.min("class_id").alias("class_id")).select("class_id")
+    return members.join(kept, "class_id").select("class_id", "doc_id")
+
+
+def shared_pairs(classes: DataFrame) -> DataFrame:
+    """``doc_id_a, doc_id_b`` (the smaller first) of :func:`shared_classes`: as many rows as there are pairs."""
+    a, b = (classes.select("class_id", F.col("doc_id").alias(f"doc_id_{x}")) for x in "ab")
+    return a.join(b, "class_id").filter(F.col("doc_id_a") < F.col("doc_id_b")).select("doc_id_a", "doc_id_b").distinct()
+
+
+def shared_shares(documents: DataFrame, materialize, span: int = SPAN, gram: int = GRAM, slice_size: int = SLICE, cells: int = CELLS) -> DataFrame:
     """``doc_id, n_chars, shared_chars, share`` of every record: how much of it stands elsewhere too.
 
     Only stretches of ``span`` characters or more count. Null texts have null length and share, empty ones
-    share 0. No pair of a large group is formed: its stretches are counted.
+    share 0. No pair is formed.
     """
-    reach = span - gram
-    direct, large = _shared(documents, materialize, span, gram, bits)
-    pairs = _direct_pairs(direct, reach, False)
-    same = lambda side: F.expr(
-        f"size(filter(sequence(0, {reach}), k -> k > 0 AND k <= least(length({side}_a), length({side}_b)) AND "
-        + ("right(left_a, k) = right(left_b, k)))" if side == "left" else "left(right_a, k) = left(right_b, k)))")
-    )
-    near = pairs.select(F.col("doc_id_a").alias("doc_id"), F.explode("places_a").alias("at"), same("left").alias("l"), same("right").alias("r"))
-    near = near.select("doc_id", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + gram + F.col("r")).alias("end"))
-    keys = ["h1", "h2", "l", "beside"]
-    common = large.groupBy(*keys).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter(F.col("a") != F.col("b"))
-    far = large.join(common.select(*keys), keys).select("doc_id", F.explode("places").alias("at"), "l")
-    far = far.select("doc_id", (F.col("at") - F.col("l")).alias("start"), (F.col("at") - F.col("l") + span).alias("end"))
-    parts = near.unionByName(far).distinct()
+    s = _Shared(documents, materialize, span, gram, slice_size, cells)
+    # The stretches over a window all hold it, so together they are one, from the farthest left to the farthest right.
+    whole = s.whole.select(*_BESIDE, F.length("left").alias("l"), F.length("right").alias("r"))
+    part = s.parts.select(*_BESIDE, "l", (F.lit(s.reach) - F.col("l")).alias("r"))
+    reached = whole.unionByName(part).groupBy(*_BESIDE).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    found = s.rows.join(reached, _BESIDE).select("doc_id", "l", "r", F.explode("places").alias("at"))
+    parts = found.select("doc_id", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + gram + F.col("r")).alias("end")).distinct()
     before = F.max("end").over(Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0))))
     covered = parts.select("doc_id", fresh.alias("fresh")).groupBy("doc_id").agg(F.sum("fresh").alias("shared_chars"))

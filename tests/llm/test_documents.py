@@ -101,6 +101,10 @@ def test_leaks(spark):
         assert none[1].count() == 0
 
 
+def text_of(seed, n, alphabet="abcdefgh"):
+    return "".join(random.Random(seed).choices(alphabet, k=n))
+
+
 def brute_pairs(docs, span):
     where: dict[str, set] = {}
     for k, t in docs:
@@ -131,15 +135,15 @@ def corpus(seed, n=40, alphabet="abcdefgh ñ😀"):
     return docs + [(900, "a" * 200), (901, "b" + "a" * 60), (902, "a" * 29), (903, None), (904, ""), (905, docs[0][1])]
 
 
-@pytest.mark.parametrize("seed,direct", [(1, 64), (2, 64), (1, 2)])
-def test_shared_spans(spark, monkeypatch, seed, direct):
-    """Short spans stand for long ones; with a small bound, groups are refined by whole stretches."""
-    monkeypatch.setattr(S, "DIRECT", direct)
+@pytest.mark.parametrize("seed,options", [(1, {}), (2, {}), (1, {"gram": 30}), (3, {"slice_size": 1, "cells": 1})])
+def test_shared_spans(spark, seed, options):
+    """Short spans stand for long ones; selected windows and all windows give the same; a full sketch loses nothing."""
     docs = corpus(seed)
     df = spark.createDataFrame([(k, t, "q", 1) for k, t in docs], DOCS)
     pairs, where = brute_pairs(docs, 30)
-    options = {"span": 30, "gram": 24, "bits": 18}
-    rows = [tuple(r) for r in S.shared_pairs(df, materialize, **options).collect()]
+    options = {"span": 30, "gram": 24} | options
+    classes = S.shared_classes(df, materialize, **options)
+    rows = [tuple(r) for r in S.shared_pairs(classes).collect()]
     assert set(rows) == pairs and len(rows) == len(pairs)
     share = {r["doc_id"]: (r["n_chars"], r["shared_chars"], r["share"]) for r in S.shared_shares(df, materialize, **options).collect()}
     want = brute_share(docs, 30, where)
@@ -147,23 +151,65 @@ def test_shared_spans(spark, monkeypatch, seed, direct):
     assert share[903][0] is None and share[903][2] is None and share[904] == (0, 0, 0.0)
 
 
-def test_a_full_sketch_loses_nothing(spark):
-    docs = corpus(3)
+def test_classes_have_a_row_for_each_member(spark):
+    """Many copies of one page are one class, not all its pairs; a near copy adds one more."""
+    page = text_of(6, 200)
+    docs = [(i, page) for i in range(300)] + [(1000, page[:100] + "#" + page[101:])]
     df = spark.createDataFrame([(k, t, "q", 1) for k, t in docs], DOCS)
-    pairs = {tuple(r) for r in S.shared_pairs(df, materialize, 30, 24, 17).collect()}
-    assert pairs == brute_pairs(docs, 30)[0]
-    assert S.shared_pairs(df.limit(0), materialize).count() == 0
+    classes = S.shared_classes(df, materialize, 30, 24)
+    sizes = sorted(r["count"] for r in classes.groupBy("class_id").count().collect())
+    assert sizes == [300, 301]
+    assert S.shared_pairs(classes).count() == 301 * 300 // 2
+    assert S.shared_classes(df.limit(0), materialize).count() == 0
+
+
+def test_records_without_id_and_repeated_ones(spark):
+    text = text_of(7, 50)
+    df = spark.createDataFrame([(1, text, "q", 1), (1, text, "q", 1), (None, text, "q", 1)], DOCS)
+    assert S.shared_classes(df, materialize, 30, 24).count() == 0
+
+
+@pytest.mark.parametrize("n", [1_000, 100_000])
+def test_the_sketch_grows_with_its_input(n):
+    """At any size few unique windows pass, and every repeated one does."""
+    h = np.random.default_rng(1).integers(0, 1 << 63, n).astype(np.uint64)
+    h = np.concatenate([h, h[: n // 10], h[n // 10 : n // 5]])
+    several = np.zeros(len(h), bool)
+    several[n // 10 + n :] = True
+    passed = S.estimated_repeated(h, several)
+    assert passed[n:].all() and passed[: n // 5].all()
+    assert passed[n // 5 : n].mean() < 0.1
+
+
+def test_more_slices_for_more_windows(spark):
+    docs = [(i, text_of(i, 300)) for i in range(60)]
+    df = spark.createDataFrame([(k, t, "q", 1) for k, t in docs], DOCS)
+    sketches = materialize(S.sparse_sketches(df, 30, 30), "sketches")
+    n = sum(len(r["n"]) // 2 for r in sketches.filter("part >= 0").collect())
+    assert n == 60 * 271
+    passed = S.repeated_windows(sketches, n, slice_size=16, cells=8)  # 1,024 slices: four for each part of a sketch
+    assert sum(len(r["n"]) // 2 for r in passed.collect()) < 0.1 * n
+
+
+def places(text):
+    return sorted({(int(at), int(x)) for _, place, h in S.selected([text], 30, 24) for at, x in zip(place, h)})
 
 
 def test_chunks_select_the_same(monkeypatch):
-    text = "".join(random.Random(9).choice("abcd") for _ in range(5000))
-    whole = S.selected(text, 30, 24)
+    text = text_of(9, 5000, "abcd")
+    whole = places(text)
     monkeypatch.setattr(S, "_CHUNK", 100)
-    parts = S.selected(text, 30, 24)
-    assert all((a == b).all() for a, b in zip(whole, parts))
+    assert places(text) == whole
+
+
+def test_texts_of_a_batch_do_not_touch():
+    rng = random.Random(10)
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.randrange(20, 90))) for _ in range(50)] + [None, ""]
+    together = {(int(i), int(at), int(x)) for index, place, h in S.selected(texts, 30, 24) for i, at, x in zip(index, place, h)}
+    assert together == {(i, *x) for i, t in enumerate(texts) for x in places(t)}
 
 
 def test_windows_of_every_stretch_hold_a_selected_one():
-    text = "".join(random.Random(8).choice("ab") for _ in range(3000)) + "a" * 300
-    at = set(S.selected(text, 30, 24)[0].tolist())
+    text = text_of(8, 3000, "ab") + "a" * 300
+    at = {x for x, _ in places(text)}
     assert all(at & set(range(i, i + 7)) for i in range(len(text) - 29))

@@ -63,7 +63,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+    return leakage.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"), materialize)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -96,7 +96,7 @@ def bit_filter(hashes: DataFrame, n: int) -> np.ndarray:
     """
     bits = filter_bits(n)
     ends = F.array(F.col("h").bitwiseAND((1 << bits) - 1), F.shiftrightunsigned("h", 64 - bits))
-    slots = hashes.select((F.explode(ends) + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
+    slots = hashes.select(F.explode(ends).alias("at")).select((F.col("at") + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
     out = np.zeros(1 << (bits - 3), np.uint8)
     for row in slots.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect():
         part = np.frombuffer(row["bits"], np.uint8)

@@ -10,6 +10,7 @@ import pytest
 
 from quillgraph.llm import encode as E
 from quillgraph.llm import leakage as K
+from quillgraph.llm import rolling as L
 from quillgraph.llm import spans as S
 from quillgraph.session import materialize
 
@@ -70,7 +71,7 @@ ITEMS = "item_id bigint, text string, doc_id int, answer string"
 
 def leaks(spark, docs, items, **options):
     d, i = spark.createDataFrame([(k, t, "q", 1) for k, t in docs], DOCS), spark.createDataFrame([(k, t, 1, "a") for k, t in items], ITEMS)
-    return d, K.leaks(d, i, **options)
+    return d, K.leaks(d, i, materialize, **options)
 
 
 def test_leaks(spark):
@@ -88,10 +89,9 @@ def test_leaks(spark):
     ]
     items = [(10, ITEM), (11, " ".join(words[:11])), (12, None), (13, ""), (14, ITEM + " con final"), (10, ITEM)]
     want = {(d, i) for d in (1, 2, 4, 8) for i in (10, 14)}
-    for options in ({}, {"max_grams": 2}):
-        d, found = leaks(spark, docs, items, **options)
-        rows = found.collect()
-        assert {(r["doc_id"], r["item_id"]) for r in rows} == want and len(rows) == len(want)
+    d, found = leaks(spark, docs, items)
+    rows = found.collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want and len(rows) == len(want)
     one = next(r for r in rows if (r["doc_id"], r["item_id"]) == (1, 10))
     assert one["n_words"] == 14 and docs[0][1][one["spans"][0]["start"] : one["spans"][0]["end"]] == ITEM.rstrip("?")
     kept = {r["doc_id"]: r["text"] for r in K.without_leaks(d, found).collect()}
@@ -101,6 +101,37 @@ def test_leaks(spark):
         assert none[1].count() == 0
 
 
+def test_hits_are_exact_when_all_windows_pass(spark, monkeypatch):
+    """A set beyond the bound of its filter lets any window pass; the join then finds the same."""
+    rng = random.Random(11)
+    vocabulary = ["uno", "DOS", "tres", "cu\u00e1tro", "5"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(12))) for _ in range(60)]
+    d, i = [(k, t) for k, t in enumerate(texts)], [(k, t) for k, t in enumerate(texts[:20])]
+    grams = lambda t: {tuple(w[k : k + 4]) for w in [K.words(t)] for k in range(len(w) - 3)}
+    want = {(a, b) for a, x in d for b, y in i if grams(x) & grams(y)}
+    monkeypatch.setattr(K, "_CHUNK", 50)
+    monkeypatch.setattr(K, "bit_filter", lambda *_: np.full(1 << 10, 255, np.uint8))
+    _, found = leaks(spark, d, i, window=4)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want and want
+
+
+def test_filter_holds_its_set_and_little_else(spark):
+    rng = np.random.default_rng(3)
+    h = rng.integers(-(1 << 63), 1 << 63, 60_000)
+    bits = L.bit_filter(spark.createDataFrame([(int(x),) for x in h], "h bigint"), len(h))
+    assert len(bits) * 8 == 1 << L.filter_bits(60_000) and L.passes(bits, h.view(np.uint64)).all()
+    assert L.passes(bits, rng.integers(0, 1 << 63, 100_000).astype(np.uint64)).mean() < 0.01
+    assert L.filter_bits(10**12) == L.MOST_BITS and L.filter_bits(0) == L.LEAST_BITS
+
+
+def test_hashes_do_not_depend_on_the_place():
+    texts = ["uno", "", "dos uno", "uno", "\U0001f69a uno"]
+    h = L.text_hashes(texts)
+    assert h[0] == h[3] and len(set(h.tolist())) == 4 and len(L.text_hashes([])) == 0
+    codes = L.code_points("dos uno tres")
+    assert L.Stretches(codes).between(np.array([0, 4]), np.array([7, 7])).tolist() == [h[2], h[0]]
+
+
 def text_of(seed, n, alphabet="abcdefgh"):
     return "".join(random.Random(seed).choices(alphabet, k=n))
 

@@ -4,10 +4,12 @@ The cell is how often the keyword stands in the record's body, the row margin th
 body, the column margin the occurrences of the keyword in all bodies. With expectation
 ``E = row * column / total`` the score is ``(count - E) / sqrt(E (1 - row/total) (1 - column/total))``.
 
-Counting keywords in all bodies needs no list of them on the workers: every run of up to W words of a body
-is looked up in a bitmap of keyword hashes of fixed size. It lets all keywords pass and few other runs; the
-exact join with the keywords removes those. W is the length of the longest keyword. Keywords of signs only
-are looked up in the stretches between words, at the lengths that such keywords have.
+Counting keywords in all bodies needs no list of them on the workers. Every run of words of a body, of each length
+that keywords have, is hashed, all runs of a batch together, and looked up in a bit filter of bounded size (see
+``rolling``). It lets all keywords pass and few other runs; the exact join with the keywords removes those. Runs are
+looked up to MAX_WORDS words; a longer keyword is looked up by its first words and then counted exactly in the
+bodies that have these. Keywords of signs only are looked up in the stretches between words, at the lengths that
+such keywords have.
 """
 
 from __future__ import annotations
@@ -18,15 +20,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_term
+from .rolling import Stretches, bit_filter, code_points, passes, text_hashes, word_table
 
-#: Bits of the keyword bitmap as a power of two: 4 MB whatever the number of keywords.
-BITMAP_BITS = 25
-_BUCKET = 32768
+#: Words of the longest runs that are looked up. Longer keywords go by their first words.
+MAX_WORDS = 8
+
+_CHUNK = 1 << 18  # characters hashed at once
 
 _WORD = re.compile(r"\w+")
 _GAP = re.compile(r"\W+")
@@ -38,25 +41,21 @@ def keyword_core(term: str) -> str:
     return _EDGES.sub("", term)
 
 
-def _core_column(term):
-    @F.pandas_udf("struct<core:string,words:int>")
-    def cores(term: pd.Series) -> pd.DataFrame:
-        found = [keyword_core(t) for t in term]
-        return pd.DataFrame({"core": found, "words": [len(_WORD.findall(c)) for c in found]})
+def lookup_of(term: str, max_words: int = MAX_WORDS) -> tuple[str, int]:
+    """What is looked up for a term, and its number of words: the core, cut after ``max_words`` words; signs only: the term."""
+    core = keyword_core(term)
+    words = [m.end() for m in _WORD.finditer(core)][:max_words]
+    return (core[: words[-1]], len(words)) if words else (term, 0)
 
-    return cores(term)
 
+def _lookup_columns(term, max_words: int):
+    @F.pandas_udf("struct<lookup:string,words:int,h:bigint>")
+    def lookups(term: pd.Series) -> pd.DataFrame:
+        found = [lookup_of(t, max_words) for t in term]
+        texts = [x[0] for x in found]
+        return pd.DataFrame({"lookup": texts, "words": [x[1] for x in found], "h": text_hashes(texts).view(np.int64)})
 
-def keyword_bitmap(cores: DataFrame) -> np.ndarray:
-    """One bit per hash of a core. The rows collected are at most 2**BITMAP_BITS / 32768, of 4 KB each."""
-    slot = F.pmod(F.xxhash64("core"), F.lit(1 << BITMAP_BITS)) + 1
-    packed = cores.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-    bits = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    for row in packed.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect():
-        part = np.frombuffer(row["bits"], np.uint8)
-        at = (row["bucket"] - 1) * (_BUCKET // 8)
-        bits[at : at + len(part)] = part
-    return bits
+    return lookups(term)
 
 
 def canonical(text: str) -> str:
@@ -68,92 +67,121 @@ def count_term(term: str, text: str) -> int:
     return len(re.findall(rf"(?<!\w){re.escape(term)}(?!\w)", text))
 
 
-def _batch(ids: list, names: list, counts: list, column: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["id", column, "n"])
-
-
-def _counter(bits, longest: int, lengths: list[int]):
-    """Rows ``id, core, n`` for ``id, body``: each run of words or signs in the bitmap with its number, and the number of words under a null core.
-
-    ``lengths`` are those of the keywords of signs only.
-    """
+def _apart(starts: np.ndarray, ends: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which occurrences count, left to right without overlap within each group; rows are sorted by group and start."""
+    keep = np.ones(len(starts), bool)
+    close = np.flatnonzero((group[1:] == group[:-1]) & (starts[1:] < ends[:-1])) + 1
+    for g in np.unique(group[close]).tolist():  # runs that repeat within themselves are rare
+        until = -1
+        for i in range(*np.searchsorted(group, [g, g + 1]).tolist()):
+            keep[i] = starts[i] >= until
+            until = ends[i] if keep[i] else until
+    return keep
+
+
+def word_runs(texts: list[str], held: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, list[tuple[int, str, int]]]:
+    """Words of each canonical text, and ``index, run, n`` of the runs of these lengths that the filter lets pass."""
+    n_words, out, at = np.zeros(len(texts), np.int64), [], 0
+    while at < len(texts):
+        end, n = at, 0
+        while end < len(texts) and n < _CHUNK:
+            n, end = n + len(texts[end]) + 1, end + 1
+        part = "\n".join(texts[at:end]) + "\n"
+        codes = code_points(part)
+        inside = word_table()[codes]
+        edges = np.flatnonzero(np.diff(inside, prepend=False))  # every word begins and ends at one
+        starts, ends = edges[::2], edges[1::2]
+        owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts[at:end]]), starts, "right")
+        n_words[at:end] = np.bincount(owner, minlength=end - at)
+        stretches, found = Stretches(codes), []
+        for k in lengths:
+            first = starts[: max(0, len(starts) - k + 1)]
+            last = ends[k - 1 :]
+            h = stretches.between(first, last)
+            hit = np.flatnonzero((owner[: len(first)] == owner[k - 1 :]) & passes(held, h))
+            found.append((owner[hit], h[hit], first[hit], last[hit]))
+        if found:
+            own, h, first, last = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((first, last - first, h, own))
+            own, h, first, last = own[order], h[order], first[order], last[order]
+            size = last - first
+            fresh = np.ones(len(own), bool)
+            fresh[1:] = (own[1:] != own[:-1]) | (h[1:] != h[:-1]) | (size[1:] != size[:-1])
+            group = np.cumsum(fresh)
+            counts = np.bincount(group[_apart(first, last, group)])[1:]
+            heads = np.flatnonzero(fresh)
+            out += [(at + i, part[a:b], c) for i, a, b, c in zip(own[heads].tolist(), first[heads].tolist(), last[heads].tolist(), counts.tolist())]
+        at = end
+    return n_words, out
+
+
+def sign_runs(text: str, held: np.ndarray, lengths: list[int]) -> list[tuple[str, int]]:
+    """Runs of signs of these lengths in a canonical text that the filter lets pass, with their occurrences."""
+    runs = sorted({g[i : i + n] for g in set(_GAP.findall(text)) for n in lengths for i in range(len(g) - n + 1)})
+    listed = passes(held, text_hashes(runs)) if runs else []
+    return [(x, n) for x, ok in zip(runs, listed) if ok and (n := count_term(x, text))]
+
+
+def _counter(bits, lengths: list[int], signs: list[int]):
+    """Rows ``id, lookup, n`` for ``id, body``: runs of words and of signs with their numbers, and the number of words under a null."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, mask = bits.value, (1 << BITMAP_BITS) - 1
-
-        def listed(run: str) -> bool:
-            slot = xxhash.xxh64_intdigest(run.encode(), 42) & mask
-            return bool(held[slot >> 3] >> (slot & 7) & 1)
-
+        held = bits.value
         for batch in batches:
-            ids, cores, counts = [], [], []
-            for key, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = canonical(body.as_py() or "")
-                spans = [m.span() for m in _WORD.finditer(text)]
-                seen: dict[str, list[int]] = {}
-                for i, (start, _) in enumerate(spans):
-                    for _, end in spans[i : i + longest]:
-                        run = text[start:end]
-                        slot = xxhash.xxh64_intdigest(run.encode(), 42) & mask
-                        if held[slot >> 3] >> (slot & 7) & 1:
-                            at = seen.setdefault(run, [0, -1])
-                            if start >= at[1]:
-                                at[0], at[1] = at[0] + 1, end
-                if lengths:
-                    gaps = set(_GAP.findall(text))
-                    runs = {g[i : i + n] for g in gaps for n in lengths for i in range(len(g) - n + 1)}
-                    seen |= {x: [n, -1] for x in runs if listed(x) and (n := count_term(x, text))}
-                ids += [key] * (len(seen) + 1)
-                cores += [None, *seen]
-                counts += [len(spans), *(x[0] for x in seen.values())]
-            yield _batch(ids, cores, counts, "core")
+            texts = [canonical(t or "") for t in batch.column(1).to_pylist()]
+            n_words, found = word_runs(texts, held, lengths)
+            if signs:
+                found += [(i, *x) for i, t in enumerate(texts) for x in sign_runs(t, held, signs)]
+            index, runs, counts = zip(*found) if found else [()] * 3
+            at = pa.array([*range(len(texts)), *index], pa.int64())
+            n = np.concatenate([n_words, np.array(counts, np.int64)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([*[None] * len(texts), *runs], pa.string()), pa.array(n)], names=["id", "lookup", "n"])
 
     return count
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, terms, bodies = (batch.column(i).to_pylist() for i in range(3))
-        yield _batch(ids, terms, [count_term(t, canonical(b or "")) for t, b in zip(terms, bodies)], "term")
+        n = [count_term(t, canonical(b or "")) for t, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["id", "term", "n"])
 
 
-def distinctive_terms(entities: DataFrame, terms: DataFrame, current, materialize) -> DataFrame:
+def distinctive_terms(entities: DataFrame, terms: DataFrame, current, materialize, max_words: int = MAX_WORDS) -> DataFrame:
     """``entity_id, term, n_records, n_in_body, n_in_all, score`` for every keyword of every current entity.
 
     Keywords are in normal form, listed once per entity; ``n_records`` is how many distinct non-empty ids list
     the term (existing or not). A keyword that is not in the body has a negative or zero score; a null or empty
-    body counts no words and scores 0. A keyword that begins or ends with a sign is counted by its core
-    first and verified by the whole; one of signs only is counted as it stands, in all bodies too.
+    body counts no words and scores 0. Every keyword is counted in all bodies: one that begins or ends with a sign, or
+    has more than ``max_words`` words, by its looked-up part first and then by the whole.
     """
     record = F.when(F.col("entity_id") != "", F.col("entity_id"))
     pairs = terms.select(normal_term(F.col("term")).alias("term"), record.alias("entity_id"))
     pairs = pairs.filter((F.col("term") != "") & F.col("entity_id").isNotNull()).distinct()
     pairs = materialize(pairs, "pairs")
     listed = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n_records"))
-    vocab = listed.select("term", "n_records", _core_column("term").alias("c")).select("term", "n_records", "c.*")
+    vocab = listed.select("term", "n_records", _lookup_columns(F.col("term"), max_words).alias("c")).select("term", "n_records", "c.*")
     vocab = materialize(vocab, "vocab")
-    signs = F.col("core") == ""
-    longest, lengths = vocab.agg(F.max("words"), F.collect_set(F.when(signs, F.length("term")))).first()
-    spark = entities.sparkSession
-    bits = spark.sparkContext.broadcast(keyword_bitmap(vocab.select(F.when(signs, F.col("term")).otherwise(F.col("core")).alias("core")).distinct()))
+    n, lengths, signs = vocab.agg(
+        F.count(F.lit(1)), F.collect_set(F.when(F.col("words") > 0, F.col("words"))), F.collect_set(F.when(F.col("words") == 0, F.length("term")))
+    ).first()
+    bits = entities.sparkSession.sparkContext.broadcast(bit_filter(vocab.select("h").distinct(), n))
 
     bodies = materialize(current(entities, "body"), "bodies")
-    counted = bodies.select("id", "body").mapInArrow(_counter(bits, longest or 1, lengths), "id string, core string, n bigint")
+    kind = bodies.schema["id"].dataType.simpleString()
+    counted = bodies.select("id", "body").mapInArrow(_counter(bits, sorted(lengths), sorted(signs)), f"id {kind}, lookup string, n bigint")
     counted = materialize(counted, "counted")
-    margin = counted.filter(F.col("core").isNull()).select("id", F.col("n").alias("row_n"))
+    margin = counted.filter(F.col("lookup").isNull()).select("id", F.col("n").alias("row_n"))
     total = margin.agg(F.sum("row_n")).scalar()
-    found = counted.filter(F.col("core").isNotNull())
-
-    plain = vocab.filter(F.col("term") == F.col("core"))
-    odd = vocab.filter(F.col("term") != F.col("core")).select("term", "core")
-    # Candidates of odd terms: the records that have the core. Those of signs only are counted already.
-    by_core = found.join(odd.filter(F.col("core") != ""), "core").select("id", "term")
-    verified = by_core.distinct().join(bodies, "id").select("id", "term", "body").mapInArrow(_verify, "id string, term string, n bigint")
-    cells = found.select("id", F.col("core").alias("term"), "n").unionByName(verified.filter(F.col("n") > 0))
+    found = counted.filter(F.col("lookup").isNotNull())
+
+    odd = vocab.filter(F.col("term") != F.col("lookup")).select("term", "lookup")
+    candidates = found.join(odd, "lookup").select("id", "term").distinct()
+    verified = candidates.join(bodies, "id").select("id", "term", "body").mapInArrow(_verify, f"id {kind}, term string, n bigint")
+    cells = found.select("id", F.col("lookup").alias("term"), "n").unionByName(verified.filter(F.col("n") > 0))
     cells = materialize(cells, "cells")
 
     column = cells.groupBy("term").agg(F.sum("n").alias("column_n"))
-    column = plain.select("term", "n_records").unionByName(vocab.filter(F.col("term") != F.col("core")).select("term", "n_records")).join(column, "term", "left")
+    column = vocab.select("term", "n_records").join(column, "term", "left")
     mine = pairs.withColumnRenamed("entity_id", "id").join(margin, "id").join(cells, ["id", "term"], "left")
     scored = mine.join(column, "term")
     n, row_n, column_n = (F.coalesce(F.col(c), F.lit(0)).cast("double") for c in ("n", "row_n", "column_n"))

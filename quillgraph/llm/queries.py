@@ -46,7 +46,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _scores(spark, d)
+    return _scores(spark, d).withColumn("score", F.round("score", 9))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -118,19 +118,35 @@ repeated AS (SELECT h FROM windows GROUP BY h HAVING min(doc_id) <> max(doc_id))
 shared AS (SELECT w.* FROM windows w SEMI JOIN repeated r ON w.h = r.h)
 """
 
+# RE2 has no look-around: every character that is no word character is doubled, so that each hit can take one at either end.
+_COUNTS = rf"""{_TERMS},
+        cur AS (SELECT id, body FROM entities WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1),
+        plain AS (SELECT id, lower(regexp_replace(coalesce(body, ''), '{_SPACES}+', ' ', 'g')) AS s FROM cur),
+        texts AS (SELECT id, s, regexp_replace(s, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g') AS t FROM plain),
+        listed AS (SELECT DISTINCT term, entity_id FROM pairs WHERE term <> '' AND entity_id IS NOT NULL),
+        known AS (
+          SELECT term, count(*) AS n_records,
+            '(?:^|[^\p{{L}}\p{{N}}_])' || regexp_escape(regexp_replace(term, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g')) || '(?:$|[^\p{{L}}\p{{N}}_])' AS rx
+          FROM listed GROUP BY term)"""
+
 ORACLE_SQL = {
     "p3_found": """WITH cur AS (
           SELECT id, type, body FROM entities QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1)
         SELECT id FROM cur LEFT JOIN (SELECT * FROM size_limits WHERE type <> '*') s ON s.type = cur.type
         WHERE length(body) > coalesce(s.max_chars, (SELECT max_chars FROM size_limits WHERE type = '*'))""",
-    # RE2 has no look-around: every character that is no word character is doubled, so that each hit can take one at either end.
-    "p4_found": rf"""WITH {_TERMS},
-        cur AS (SELECT id, body FROM entities WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1),
-        texts AS (SELECT id, regexp_replace(regexp_replace(lower(body), '{_SPACES}+', ' ', 'g'), '([^\p{{L}}\p{{N}}_])', '\1\1', 'g') AS t FROM cur),
-        listed AS (SELECT DISTINCT term, entity_id FROM pairs WHERE term <> '' AND entity_id IS NOT NULL),
-        kept AS (SELECT term FROM listed GROUP BY term HAVING count(*) BETWEEN 2 AND 12)
-        SELECT entity_id, term FROM listed SEMI JOIN kept USING (term) JOIN texts ON texts.id = entity_id
-        WHERE len(regexp_extract_all(t, '(?:^|[^\p{{L}}\p{{N}}_])' || regexp_escape(regexp_replace(term, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g')) || '(?:$|[^\p{{L}}\p{{N}}_])')) >= 3""",
+    "p4_found": f"""WITH {_COUNTS}
+        SELECT entity_id, term FROM listed JOIN known USING (term) JOIN texts ON texts.id = entity_id
+        WHERE n_records BETWEEN 2 AND 12 AND len(regexp_extract_all(t, rx)) >= 3""",
+    "p4_scores": rf"""WITH {_COUNTS},
+        cells AS (SELECT id, term, len(regexp_extract_all(t, rx)) AS n FROM texts JOIN known ON contains(s, term)),
+        cols AS (SELECT term, sum(n)::BIGINT AS column_n FROM cells GROUP BY term),
+        margins AS (SELECT id, len(regexp_extract_all(s, '[\p{{L}}\p{{N}}_]+')) AS row_n FROM texts),
+        numbers AS (
+          SELECT entity_id, term, n_records, coalesce(n, 0) AS n, coalesce(column_n, 0) AS c, row_n AS r, (SELECT sum(row_n)::DOUBLE FROM margins) AS z
+          FROM listed JOIN known USING (term) JOIN margins ON margins.id = entity_id LEFT JOIN cols USING (term)
+          LEFT JOIN cells ON cells.id = entity_id AND cells.term = listed.term),
+        spread AS (SELECT *, r * c / z AS e, (r * c / z) * (1 - r / z) * (1 - c / z) AS v FROM numbers)
+        SELECT entity_id, term, n_records, n AS n_in_body, c AS n_in_all, round(CASE WHEN v > 0 THEN (n - e) / sqrt(v) ELSE 0.0 END, 9) AS score FROM spread""",
     "p5_found": f"WITH {_TERMS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p5_frequency": f"WITH {_TERMS} SELECT term, n_rows, n_records, mark FROM marked",
     "p9_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM found",

@@ -7,6 +7,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from quillgraph.llm import distinctive as D
 from quillgraph.llm import frequency as Q
 from quillgraph.operators.current import current_rows
@@ -31,29 +33,29 @@ def brute_scores(bodies: dict, pairs: set) -> dict:
     return out
 
 
-def run(spark, entities, terms):
+def run(spark, entities, terms, **options):
     e = spark.createDataFrame(entities, "id string, body string, updated_at timestamp_ntz, term string, n int")
     t = spark.createDataFrame(terms, "term string, entity_id string, id string, n int")
-    return D.distinctive_terms(e, t, current_rows, materialize)
+    return D.distinctive_terms(e, t, current_rows, materialize, **options)
 
 
-def test_scores_against_brute_force(spark):
+@pytest.mark.parametrize("max_words", [8, 2])
+def test_scores_against_brute_force(spark, max_words):
     rng = random.Random(5)
     words = ["Uno", "dos", "tres", "c++", "C", "foo-bar", "ñandú", "x_y", "aa", "++", ".net", "a"]
     bodies = {f"r{i}": "".join(rng.choice(words) + rng.choice([" ", "\xa0 ", ", ", "\n", "-", "."]) for _ in range(rng.randrange(60))) for i in range(25)}
     bodies |= {"empty": "", "null": None}
-    listed = ["uno", " UNO ", "dos\ttres", "c++", "c", "foo-bar", "ñandú", "nandu", "aa aa", "++", ".net", "x_y", "uno dos tres", "a a a", "  ", "", None]
+    listed = ["uno", " UNO ", "dos\ttres", "c++", "c", "foo-bar", "ñandú", "nandu", "aa aa", "++", ".net", "x_y", "uno dos tres", "uno dos", "a a a", "a a", "dos, tres c++", "junk " * 40, "  ", "", None]
     terms = [(t, rng.choice([*bodies, "ghost", "", None]), "z", 1) for t in listed for _ in range(6)] + [("uno", "empty", "z", 1), ("uno", "null", "z", 1)]
-    got = {(r["entity_id"], r["term"]): (r["n_in_body"], r["score"], r["n_records"]) for r in run(spark, [(k, b, None, "q", 1) for k, b in bodies.items()], terms).collect()}
+    found = run(spark, [(k, b, None, "q", 1) for k, b in bodies.items()], terms, max_words=max_words).collect()
+    got = {(r["entity_id"], r["term"]): (r["n_in_body"], r["n_in_all"], r["n_records"], r["score"]) for r in found}
     pairs = {(r, norm(t)) for t, r, *_ in terms if t and norm(t) and r}
     df = Counter(t for _, t in pairs)
     want = brute_scores(bodies, pairs)
     assert set(got) == set(want)
     for k, (own, total, score) in want.items():
-        assert got[k][0] == own, k
-        assert got[k][2] == df[k[1]]
-        if k[1] != "++" and "a a" not in k[1]:  # signs only count where listed; repeats within themselves count left to right
-            assert abs(got[k][1] - score) < 1e-9, k
+        assert got[k][:3] == (own, total, df[k[1]]), k
+        assert abs(got[k][3] - score) < 1e-9, k
 
 
 def test_signs_count_in_all_bodies(spark):

@@ -59,7 +59,7 @@ def p5_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encode_corpus(read_table(spark, d, "documents"))
+    return encode.encode_corpus(read_table(spark, d, "documents"), materialize)
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:

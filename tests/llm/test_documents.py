@@ -28,33 +28,57 @@ def plain():
 ODD = ["a", "the", "'", "s", "'s", " ", "  ", "\n", "é", "漢", "1", "!", "''", "🚚", "\xa0", "\u0301", "\x1c", "<|endoftext|>", "ll", "a" * 24, "!" * 24, "1" * 22, " " * 23, "\n" * 18]
 
 
-def test_encoding_is_exact(plain):
-    enc, rng = E.Encoder(run_chars=16, leaf_bytes=7), random.Random(1)
+@pytest.mark.parametrize("leaf", [1, 5, 16])
+def test_encoding_is_exact(plain, leaf):
+    """Cuts fall anywhere: within words, runs, white space and contractions."""
+    enc, rng = E.Encoder(leaf_chars=leaf), random.Random(leaf)
     for _ in range(1500):
         text = "".join(rng.choice(ODD) for _ in range(rng.randrange(40)))
         want = plain(text)
         assert enc.encode(text) == want, text
-        parts = enc.parts(text, 8) if text else []
-        assert "".join(p for _, p in parts) == text
-        assert enc.assemble([(r, enc.run(p.encode()) if r >= 0 else enc.encode(p)) for r, p in parts]) == want, text
+        assert enc.tree([enc.encode(p) for p in E.halves(text, 8)] if text else []) == want, text
 
 
-def test_long_runs_are_joined_exactly(plain):
-    enc, rng = E.Encoder(), random.Random(4)
-    for letters in ("z", "ab", string.ascii_lowercase, "áéí", "0123456789", "!?."):
-        text = "".join(rng.choice(letters) for _ in range(20_000))
-        assert enc.encode(f"uno {text} dos") == plain(f"uno {text} dos")
+@pytest.mark.parametrize("letters", ["z", "ab", string.ascii_lowercase, "áéí", "0123456789", "!?.", " \n", "'s", "漢字漢"])
+def test_long_runs_are_joined_exactly(plain, letters):
+    enc, rng = E.Encoder(leaf_chars=300), random.Random(4)
+    text = "".join(rng.choice(letters) for _ in range(20_000))
+    for whole in (text, f"uno {text} dos", f"uno{text}dos"):
+        assert enc.encode(whole) == plain(whole)
+
+
+def test_a_run_of_a_million_characters_is_joined_in_little_time(plain):
+    """The parts of a run are encoded apart and joined by windows, not encoded again as a whole."""
+    enc, rng = E.Encoder(), random.Random(5)
+    text = "x " + "".join(rng.choices(string.ascii_lowercase, k=1_000_000)) + " y"
+    parts = [enc.encode(p) for p in E.halves(text, E.PART_CHARS)]
+    seen = []
+    single = enc.bpe._encode_single_piece
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(bpe, name)
+
+        def _encode_single_piece(self, data):
+            seen.append(len(data))
+            return single(data)
+
+    bpe, enc.bpe = enc.bpe, Counting()
+    ids = enc.tree(parts)
+    assert sum(seen) < 10_000 and b"".join(enc.bytes[i] for i in ids).decode() == text
+    assert ids == plain(text)
 
 
 def test_encode_corpus(spark, plain):
     rng = random.Random(2)
     texts = [None, "", "  ", "uno <|endoftext|>", "x" * 900, " ".join("".join(rng.choice(ODD) for _ in range(5)) for _ in range(200)), "x" * 900]
+    texts += ["".join(rng.choices("abc", k=10_000)), "uno " + "ñ" * 3000]
     df = spark.createDataFrame([(i, t, "q", 1) for i, t in enumerate(texts)] + [(6, texts[6], "q", 1)], DOCS)
-    got = E.encode_corpus(df, part_chars=100, run_chars=32, leaf_bytes=9)
+    got = E.encode_corpus(df, materialize, part_chars=100, leaf_chars=9)
     rows = [(r["doc_id"], r["ids"]) for r in got.collect()]
     assert sorted(rows) == sorted([(i, plain(t) if t else []) for i, t in enumerate(texts)] + [(6, plain(texts[6]))])
     assert got.columns == ["doc_id", "ids"]
-    assert E.encode_corpus(df.limit(0)).count() == 0
+    assert E.encode_corpus(df.limit(0), materialize).count() == 0
 
 
 def test_ids_of_the_test_table(spark, small, plain):

@@ -260,13 +260,16 @@ def repeated_by_record(sketches: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 def candidate_windows(documents: DataFrame, wanted: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """Second pass: ``doc_id, k, left, right, places`` of the windows estimated as repeated.
+    """Second pass: ``doc_id, k, c, left, right, places`` of the windows estimated as repeated.
 
-    ``k`` is the digest of the window; ``left`` and ``right`` are up to ``span - gram`` characters beside it. Equal
-    rows of a record (in a run of one character) come out once, with all their places.
+    ``left`` and ``right`` are up to ``span - gram`` characters beside the window. ``k`` is the digest of the window, ``c``
+    that of the window with these. Equal rows of a record (in a run of one character) come out once, with all their places.
     """
     reach = span - gram
-    names = ["doc_id", "k", "left", "right", "places"]
+    names = ["doc_id", "k", "c", "left", "right", "places"]
+
+    def digest(text: str) -> bytes:
+        return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,19 +281,15 @@ def candidate_windows(documents: DataFrame, wanted: DataFrame, span: int = SPAN,
                     i = int(index[a])
                     text = texts[i]
                     for at in place[a:b][np.isin(h[a:b], lists[i])].tolist():
-                        digest = blake2b(text[at : at + gram].encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                        mine.setdefault((i, digest, text[max(0, at - reach) : at], text[at + gram : at + gram + reach]), set()).add(at)
-            index, *cols = zip(*mine) if mine else [()] * 4
-            columns = [batch.column(0).take(pa.array(index, pa.int64())), pa.array(cols[0], pa.binary()), *(pa.array(c, pa.string()) for c in cols[1:])]
+                        mine.setdefault((i, text[at : at + gram], text[max(0, at - reach) : at], text[at + gram : at + gram + reach]), set()).add(at)
+            index, window, left, right = zip(*mine) if mine else [()] * 4
+            k, c = [digest(x) for x in window], [digest(f"{len(a)} {a}{x}{b}") for x, a, b in zip(window, left, right)]
+            columns = [batch.column(0).take(pa.array(index, pa.int64())), *(pa.array(x, pa.binary()) for x in (k, c)), *(pa.array(x, pa.string()) for x in (left, right))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([sorted(x) for x in mine.values()], pa.list_(pa.int32()))], names=names)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     read = documents.select("doc_id", "text").join(wanted, "doc_id")
-    return read.select("doc_id", "text", "hashes").mapInArrow(find, f"doc_id {kind}, k binary, left string, right string, places array<int>")
-
-
-_BESIDE = ["k", "left", "right"]
-_STRETCH = ["k", "l", "beside"]
+    return read.select("doc_id", "text", "hashes").mapInArrow(find, f"doc_id {kind}, k binary, c binary, left string, right string, places array<int>")
 
 
 class _Shared:
@@ -303,20 +302,23 @@ class _Shared:
         repeated = repeated_windows(sketches, n, slice_size, cells)
         wanted = materialize(repeated_by_record(sketches, repeated), "wanted")
         self.rows = materialize(candidate_windows(documents, wanted, span, gram), "windows")
-        # Characters beside a window, with the least and the greatest record that has them.
-        beside = self.rows.groupBy(*_BESIDE).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-        beside = materialize(beside, "beside")
-        enough = F.length("left") + F.length("right") >= reach
-        self.whole = beside.filter(enough & (F.col("a") != F.col("b")))
-        differ = beside.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("least"), F.max("b").alias("most"))
-        differ = differ.filter((F.col("n") > 1) & (F.col("least") != F.col("most"))).select("k")
+        # Windows with what stands beside them: reach to both sides, and the least and the greatest record that has them.
+        reached = F.max(F.length("left")).alias("l"), F.max(F.length("right")).alias("r")
+        beside = self.rows.groupBy("k", "c").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), *reached)
+        beside = materialize(beside, "beside").filter(F.col("l") + F.col("r") >= reach)
+        self.whole = beside.filter(F.col("a") != F.col("b")).select("c", "l", "r")
+        several = (F.count(F.lit(1)) > 1) & (F.min("a") != F.max("b"))
+        differ = beside.groupBy("k").agg(several.alias("differ")).filter("differ").select("k")
+        over = beside.join(differ, "k").select("k", "c", "a", "b")
+        texts = self.rows.select("c", "left", "right").join(over.select("c"), "c", "left_semi").dropDuplicates(["c"])
         lengths = F.sequence(F.greatest(F.lit(0), reach - F.length("right")), F.least(F.lit(reach), F.length("left")))
-        over = beside.filter(enough).join(differ, "k").select("*", F.explode(lengths).alias("l"))
-        over = over.withColumn("beside", F.expr(f"concat(right(left, l), left(right, {reach} - l))"))
-        signature = F.bit_xor(F.xxhash64("left", "right")).alias("x"), F.bit_xor(F.xxhash64("right", F.lit(1), "left")).alias("y")
-        common = over.groupBy(*_STRETCH).agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("least"), F.max("b").alias("most"), *signature)
-        common = common.filter((F.col("n") > 1) & (F.col("least") != F.col("most"))).select(*_STRETCH, "n", "x", "y")
-        self.parts = materialize(over.join(common, _STRETCH).select(*_BESIDE, "l", "beside", "n", "x", "y"), "stretches")
+        over = over.join(texts, "c").select("*", F.explode(lengths).alias("l"))
+        stretch = F.concat(F.hex("k"), F.lit(" "), "l", F.lit(" "), F.expr(f"concat(right(left, l), left(right, {reach} - l))"))
+        over = materialize(over.select("k", "c", "a", "b", "l", F.unhex(F.md5(stretch)).alias("s")), "over")
+        signature = F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "c")).alias("y")
+        common = over.groupBy("s").agg(F.count(F.lit(1)).alias("n"), several.alias("several"), *signature)
+        common = common.filter("several").select("s", "n", "x", "y")
+        self.parts = materialize(over.join(common, "s").select("k", "c", "l", "s", "n", "x", "y"), "stretches")
 
 
 def shared_classes(documents: DataFrame, materialize, span: int = SPAN, gram: int = GRAM, slice_size: int = SLICE, cells: int = CELLS) -> DataFrame:
@@ -327,16 +329,15 @@ def shared_classes(documents: DataFrame, materialize, span: int = SPAN, gram: in
     rows of one id are one record.
     """
     s = _Shared(documents, materialize, span, gram, slice_size, cells)
-    whole = s.whole.select(*_BESIDE, F.md5(F.concat_ws("\0", F.hex("k"), F.length("left"), "left", "right")).alias("class_id"))
     # Neighbouring stretches over a window mostly have the same members.
-    one = s.parts.groupBy("k", "n", "x", "y").agg(F.min(F.struct("l", "beside")).alias("m")).select("k", "m.l", "m.beside")
-    part = s.parts.join(one, _STRETCH).select(*_BESIDE, F.md5(F.concat_ws("\1", F.hex("k"), "l", "beside")).alias("class_id"))
-    members = whole.unionByName(part).join(s.rows.select(*_BESIDE, "doc_id"), _BESIDE).select("class_id", "doc_id").distinct()
+    one = s.parts.groupBy("k", "n", "x", "y").agg(F.min("s").alias("s")).select("s")
+    held = s.whole.select("c", F.col("c").alias("class_id")).unionByName(s.parts.join(one, "s").select("c", F.col("s").alias("class_id")))
+    members = held.join(s.rows.select("c", "doc_id"), "c").select("class_id", "doc_id").distinct()
     members = materialize(members, "members")
     key = F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "doc_id")).alias("y")
     sets = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), *key)
     kept = sets.groupBy("n", "x", "y").agg(F.min("class_id").alias("class_id")).select("class_id")
-    return members.join(kept, "class_id").select("class_id", "doc_id")
+    return members.join(kept, "class_id").select(F.hex("class_id").alias("class_id"), "doc_id")
 
 
 def shared_pairs(classes: DataFrame) -> DataFrame:
@@ -353,10 +354,9 @@ def shared_shares(documents: DataFrame, materialize, span: int = SPAN, gram: int
     """
     s = _Shared(documents, materialize, span, gram, slice_size, cells)
     # The stretches over a window all hold it, so together they are one, from the farthest left to the farthest right.
-    whole = s.whole.select(*_BESIDE, F.length("left").alias("l"), F.length("right").alias("r"))
-    part = s.parts.select(*_BESIDE, "l", (F.lit(s.reach) - F.col("l")).alias("r"))
-    reached = whole.unionByName(part).groupBy(*_BESIDE).agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    found = s.rows.join(reached, _BESIDE).select("doc_id", "l", "r", F.explode("places").alias("at"))
+    part = s.parts.select("c", "l", (F.lit(s.reach) - F.col("l")).alias("r"))
+    reached = s.whole.unionByName(part).groupBy("c").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    found = s.rows.select("doc_id", "c", "places").join(reached, "c").select("doc_id", "l", "r", F.explode("places").alias("at"))
     parts = found.select("doc_id", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + gram + F.col("r")).alias("end")).distinct()
     before = F.max("end").over(Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0))))

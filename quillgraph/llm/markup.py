@@ -2,13 +2,16 @@
 
 Markup is stripped by rule, innermost first; what stands for itself in prose (comparisons, products,
 amounts, paths, field names) matches no rule. The lines that remain go through a line-block distribution:
-text lengths are summed over a sliding window of lines, and lines are kept from a surge (the sum rises to
-the threshold) to the dive (it falls below). Lines of structure are kept always. At the default threshold of
-one character this step removes nothing, as a line with text reaches it alone, so no text is lost; web pages
-with navigation can be given a higher one.
+the length of a line is what it says outside of links, in letters and digits; lengths are summed over a sliding window
+of lines, and lines are kept from a surge (the sum rises to the threshold) to the dive (it falls below). So runs of
+lines that are nothing but links, before, after or far from text, are navigation and go; a line that says
+anything stays, as do headings, lists, tables, code and formulas, and a body that is nothing but links.
 
-A body is one row, so the work is per row and moves no data; a pandas UDF is used since nested markup
-is beyond regular expressions on columns.
+A record has markup residue if its clean blocks are not the text it had: some block is more than plain text, or
+visible characters went.
+
+A body is one row, so the work is per row and moves no data; Python is used since nested markup is beyond
+regular expressions on columns.
 """
 
 from __future__ import annotations
@@ -18,18 +21,35 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 WINDOW = 3
 SURGE = 1
 
-RESULT = "struct<text:string,marks:int,kinds:array<string>,blocks:array<struct<kind:string,text:string>>,notes:array<string>>"
+#: What :func:`clean` gives, as columns.
+RESULT = {
+    "text": "string",
+    "residue": "boolean",
+    "marks": "int",
+    "kinds": "array<string>",
+    "blocks": "array<struct<kind:string,level:int,text:string>>",
+    "notes": "array<string>",
+}
 
 _TAG = r"</?[A-Za-z][A-Za-z0-9:-]*(?:\s+[A-Za-z_:][-\w:.]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*\s*/?>"
-_H, _L, _T, _C, _M = "\x02H", "\x02L", "\x02T", "\x02C", "\x02M"
-_KIND = {"H": "heading", "L": "list", "T": "table", "C": "code", "M": "formula"}
+# Signs of structure at the begin of a line, and of a link's begin and end: no letter, no white space.
+_L, _T, _C, _M = "\x02\x17", "\x02\x18", "\x02\x19", "\x02\x1a"
+_KIND = {"\x17": "list", "\x18": "table", "\x19": "code", "\x1a": "formula"} | {chr(0x10 + n): "heading" for n in range(1, 7)}
+_LINK, _LINK_END = "\x04", "\x05"
+
+
+def _head(level: int) -> str:
+    return "\x02" + chr(0x10 + min(6, max(1, level)))
+
 
 # Commands of LaTeX that print nothing of their argument, and those that stand without braces.
 _SILENT = "label|ref|eqref|pageref|cite|citep|citet|index|bibliography|includegraphics|vspace|hspace|input|include|usepackage|documentclass"
@@ -69,11 +89,14 @@ _HTML_CELL = _rx(r"</t[dh]\s*>\s*(?=<t[dh]\b)", re.I)
 _HTML_ITEM = _rx(r"<li\b[^<>]*>", re.I)
 _HTML_IMG = _rx(r"<img\b[^<>]*?\balt\s*=\s*(?:\"([^\"]*)\"|'([^']*)')[^<>]*>", re.I | re.S)
 _HTML_BLOCK = _rx(r"</?(?:p|div|table|ul|ol|li|tr|thead|tbody|section|article|blockquote|hr|br|dl|dt|dd)\b[^<>]*>", re.I)
+_HTML_LINK = _rx(r"<a\b[^<>]*>([^<\n]*(?:<(?!/?a\b)[^<\n]*)*)</a\s*>", re.I)
 _HTML_TAG = _rx(_TAG)
 _ENTITY = _rx(r"&(?:[A-Za-z][A-Za-z0-9]{1,31}|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});")
 _AUTOLINK = _rx(r"<((?:https?|ftp|mailto):[^\s<>]+)>")
 
-_TEX_HEAD = _rx(r"\\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph)\*?\s*\{([^{}\n]*)\}")
+_TEX_HEAD = _rx(r"\\(part|chapter|(?:sub){0,2}section|(?:sub)?paragraph)\*?\s*\{([^{}\n]*)\}")
+# Levels of LaTeX headings.
+_TEX_LEVELS = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5, "subparagraph": 6}
 _TEX_TABULAR = _rx(r"\\begin\{(tabular[x*]?|array)\}(?:\{[^{}\n]*\})*(.*?)\\end\{\1\}", re.S)
 _TEX_ITEM = _rx(r"\\item\b(?:\[[^\]\n]*\])?[ \t]*")
 _TEX_ENV = _rx(r"\\(?:begin|end)\{[^{}\n]*\}(?:\[[^\]\n]*\])?")
@@ -102,13 +125,13 @@ _MD_LINK = _rx(r"\[([^\[\]\n]*)\]\([^()\n]*\)")
 _MD_REF = _rx(r"\[([^\[\]\n]+)\]\[[^\[\]\n]*\]")
 _MD_DEF = _rx(r"^ {0,3}\[[^\]\n]+\]:[ \t]*\S[^\n]*$", re.M)
 _MD_NOTE = _rx(r"\[\^[^\]\s]+\]:?")
-_MD_ATX = _rx(r"^ {0,3}#{1,6}[ \t]+(\S[^\n]*?)[ \t]*#*[ \t]*$", re.M)
-_MD_SETEXT = _rx(r"^(?!\x02)([^\s][^\n]*)\n {0,3}(?:={2,}|-{2,})[ \t]*$", re.M)
+_MD_ATX = _rx(r"^ {0,3}(#{1,6})[ \t]+(\S[^\n]*?)[ \t]*#*[ \t]*$", re.M)
+_MD_SETEXT = _rx(r"^(?!\x02)([^\s][^\n]*)\n {0,3}(={2,}|-{2,})[ \t]*$", re.M)
 _MD_QUOTE = _rx(r"^ {0,3}(?:>[ \t]?)+(?=\S)", re.M)
 _MD_RULE = _rx(r"^ {0,3}(?:-{3,}|\*{3,}|_{3,}|={4,})[ \t]*$", re.M)
 _MD_TABLE_RULE = _rx(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*\|(?:[ \t:|-]*)$", re.M)
 _MD_ROW = _rx(r"^[ \t]*\|(.+?)\|[ \t]*$", re.M)
-_MD_ITEM = _rx(r"^([ \t]*)(?:[*#]{1,6}|[-+]|\d{1,9}[.)])[ \t]+(?:\[[ xX]\][ \t]+)?(?=\S)", re.M)
+_MD_ITEM = _rx(r"^([ \t]*)(?:[*#]{1,6}|[-+]|(\d{1,9}[.)]))[ \t]+(?:\[[ xX]\][ \t]+)?(?=\S)", re.M)
 _MD_CODE = _rx(r"(`{1,2})(?!`)([^`\n]+)\1(?!`)")
 _MD_ESC = _rx(r"\\([*_`\[\]~|>!])")
 _EMPHASIS = [
@@ -119,7 +142,10 @@ _EMPHASIS = [
 ]
 _PLAIN = _rx(r"[<&*_`~=\[\]#>|'$\\{}+]|^[ \t]*(?:-|\d{1,9}[.)])|^ {0,3}-{2}", re.M)
 _SPACES = _rx(r"[ \t]{2,}")
-_SIGN = _rx(r"\x02[HLTCM]")
+_SIGN = _rx(r"\x02[\x11-\x1a]|[\x04\x05]")
+_LINKED = _rx(r"\x04[^\x05]*\x05")
+_NUMBER = _rx(r"\d{1,9}[.)] ")
+_OWN = _rx(r"[\x02-\x05]")
 _HOLD = _rx(r"\x03(\d+)\x03")
 
 
@@ -131,7 +157,11 @@ def _template(m: re.Match) -> str:
 
 def _wiki_link(m: re.Match) -> str:
     parts = m.group(1).split("|")
-    return parts[-1] if len(parts) > 1 else parts[0].rpartition(":")[2]
+    return _LINK + (parts[-1] if len(parts) > 1 else parts[0].rpartition(":")[2]) + _LINK_END
+
+
+def _linked(m: re.Match) -> str:
+    return f"{_LINK}{m.group(1)}{_LINK_END}"
 
 
 def _accent(m: re.Match) -> str:
@@ -146,7 +176,7 @@ class _Page:
     """One text under conversion: the rules' hits are counted, code and formulas are held aside."""
 
     def __init__(self, text: str):
-        self.text = _line_ends(text).replace("\x02", " ").replace("\x03", " ")
+        self.text = _OWN.sub(" ", _line_ends(text))
         self.marks, self.kept, self.notes = 0, [], []
 
     def sub(self, pattern: re.Pattern, to) -> int:
@@ -223,8 +253,9 @@ def _strip(p: _Page) -> None:
 
 def _strip_html(p: _Page) -> None:
     """The rules from HTML on."""
-    p.sub(_AUTOLINK, r"\1")
-    p.sub(_HTML_HEAD, lambda m: f"\n\n{_H}{' '.join(m.group(2).split())}\n\n")
+    p.sub(_AUTOLINK, _linked)
+    p.sub(_HTML_LINK, _linked)
+    p.sub(_HTML_HEAD, lambda m: f"\n\n{_head(int(m.group(1)))}{' '.join(m.group(2).split())}\n\n")
     p.sub(_HTML_ROW, lambda m: f"\n{_T}" + _HTML_CELL.sub("\t", m.group(1).strip()).replace("\n", " ") + "\n")
     p.sub(_HTML_ITEM, f"\n{_L}")
     p.sub(_HTML_IMG, lambda m: m.group(1) or m.group(2) or "")
@@ -244,8 +275,8 @@ def _strip_tex(p: _Page) -> None:
     )
     p.sub(_TEX_ACCENT, _accent)
     p.sub(_TEX_SILENT, "")
-    p.sub(_TEX_HREF, r"\1")
-    p.sub(_TEX_HEAD, rf"\n\n{_H}\1\n\n")
+    p.sub(_TEX_HREF, _linked)
+    p.sub(_TEX_HEAD, lambda m: f"\n\n{_head(_TEX_LEVELS[m.group(1)])}{m.group(2)}\n\n")
     p.sub(_TEX_ITEM, f"\n{_L}")
     p.sub(_TEX_ENV, "\n")
     while p.note(_TEX_NOTE, _strip_tex) + p.sub(_TEX_WRAP, r"\1"):  # a note once its own commands are stripped
@@ -255,23 +286,23 @@ def _strip_tex(p: _Page) -> None:
     # wiki
     p.inner(_TEMPLATE, _template)
     p.inner(_WIKI_LINK, _wiki_link)
-    p.sub(_WIKI_URL, lambda m: m.group(1) or "")
+    p.sub(_WIKI_URL, lambda m: _linked(m) if m.group(1) else "")
     if p.sub(_WIKI_TABLE, ""):
         p.sub(_WIKI_CELL, lambda m: _T + "\t".join(c.strip() for c in re.split(r"\|\||!!", m.group(1))))
-    p.sub(_WIKI_HEAD, rf"\n{_H}\2\n")
+    p.sub(_WIKI_HEAD, lambda m: f"\n{_head(len(m.group(1)))}{m.group(2)}\n")
     # Markdown
     p.sub(_MD_DEF, "")
     p.sub(_MD_NOTE, "")
     p.sub(_MD_IMAGE, r"\1")
-    p.inner(_MD_LINK, r"\1")
-    p.sub(_MD_REF, r"\1")
-    p.sub(_MD_ATX, rf"\n{_H}\1\n")
+    p.inner(_MD_LINK, _linked)
+    p.sub(_MD_REF, _linked)
+    p.sub(_MD_ATX, lambda m: f"\n{_head(len(m.group(1)))}{m.group(2)}\n")
     if p.sub(_MD_TABLE_RULE, ""):
         p.sub(_MD_ROW, lambda m: _T + "\t".join(c.strip() for c in m.group(1).split("|")))
-    p.sub(_MD_SETEXT, rf"\n{_H}\1\n")
+    p.sub(_MD_SETEXT, lambda m: f"\n{_head(1 if m.group(2)[0] == '=' else 2)}{m.group(1)}\n")
     p.sub(_MD_RULE, "")
     p.sub(_MD_QUOTE, "")
-    p.sub(_MD_ITEM, rf"\1{_L}")
+    p.sub(_MD_ITEM, lambda m: m.group(1) + _L + (f"{m.group(2)} " if m.group(2) else ""))
     p.sub(_WIKI_QUOTE, r"\1")
     for pattern in _EMPHASIS:
         p.inner(pattern, r"\2")
@@ -281,45 +312,81 @@ def _strip_tex(p: _Page) -> None:
     p.sub(_WIKI_OPEN, "")
 
 
-def line_blocks(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[bool]:
-    """Which lines lie between a surge and its dive: in some window whose lengths sum to ``surge`` or more."""
-    keep, total = [False] * len(lengths), 0
-    until = 0
+def surges(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """First and last line of each stretch from a surge to its dive: of consecutive windows whose lengths sum to ``surge`` or more."""
+    out: list[tuple[int, int]] = []
+    total, before = 0, False
     for i, n in enumerate(lengths):
         total += n - (lengths[i - window] if i >= window else 0)
         if total >= surge:
-            for k in range(max(until, i - window + 1), i + 1):
-                keep[k] = True
-            until = i + 1
+            out.append((out.pop()[0] if before else max(0, i - window + 1), i))
+        before = total >= surge
+    return out
+
+
+def line_blocks(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[bool]:
+    """Which lines lie in a stretch from a surge to its dive."""
+    keep = [False] * len(lengths)
+    for first, last in surges(lengths, window, surge):
+        keep[first : last + 1] = [True] * (last + 1 - first)
+    return keep
+
+
+def kept_lines(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[bool]:
+    """Of each stretch the lines from the first to the last that say something; all lines if there is no stretch, or no threshold."""
+    stretches = surges(lengths, window, surge)
+    if not stretches or surge <= 0:
+        return [True] * len(lengths)
+    keep = [False] * len(lengths)
+    for first, last in stretches:
+        says = [i for i in range(first, last + 1) if lengths[i]]
+        keep[says[0] : says[-1] + 1] = [True] * (says[-1] + 1 - says[0])
     return keep
 
 
+def _result(text: str | None, blocks: list[dict], residue: bool = False, marks: int = 0, notes: list[str] = ()) -> dict:
+    return {"text": text, "residue": residue, "marks": marks, "kinds": sorted({b["kind"] for b in blocks}), "blocks": blocks, "notes": list(notes)}
+
+
+def _shown(block: dict) -> str:
+    """The text of a block; items of a list begin with their number or a bullet."""
+    if block["kind"] != "list":
+        return block["text"]
+    return "\n".join(x if _NUMBER.match(x) else "• " + x for x in block["text"].split("\n"))
+
+
+def _visible(text: str) -> str:
+    return "".join(_OWN.sub(" ", text).split())
+
+
 def clean(text: str | None, window: int = WINDOW, surge: int = SURGE) -> dict:
-    """Clean text, number of marks removed, kinds of blocks, the blocks and the notes of one body.
+    """The columns of RESULT for one body.
 
-    A null text gives null text and no marks; an empty one stays empty. List items begin with a bullet
-    sign, table cells are separated by tabs, code and formulas stay letter by letter. The contents of ``<ref>`` and then of ``\\footnote`` are the
-    notes: they would break the sentences they hang on. Marks within a note are not counted.
+    A null text gives null text and no marks; an empty one stays empty. ``marks`` is the number of marks removed. Headings
+    have their ``level`` in ``blocks``, other blocks 0. List items begin with their number or a bullet sign, table cells
+    are separated by tabs, code and formulas stay letter by letter. The contents of ``<ref>`` and then of
+    ``\\footnote`` are the notes: they would break the sentences they hang on. Marks within a note are not counted.
     """
     if text is None:
-        return {"text": None, "marks": 0, "kinds": [], "blocks": [], "notes": []}
+        return _result(None, [])
     if not _PLAIN.search(_line_ends(text)):
-        return {"text": text, "marks": 0, "kinds": ["text"] if text.strip() else [], "blocks": [{"kind": "text", "text": text}] if text.strip() else [], "notes": []}
+        return _result(text, [{"kind": "text", "level": 0, "text": text}] if text.strip() else [])
     p = _Page(text)
     _strip(p)
     lines = p.text.split("\n")
-    lengths = [len(x.strip()) for x in lines]
-    keep = line_blocks(lengths, window, surge)
+    signs = [line[at + 1 : at + 2] if (at := line.find("\x02")) >= 0 else "" for line in lines]
+    # Structure counts as text, links do not.
+    lengths = [sum(map(str.isalnum, x if sign else _LINKED.sub("", x))) for x, sign in zip(lines, signs)]
+    keep = kept_lines(lengths, window, surge)
     blocks: list[dict] = []
     gap = True
-    for line, wanted in zip(lines, keep):
-        at = line.find("\x02")
-        kind = _KIND.get(line[at + 1 : at + 2], "text") if at >= 0 else "text"
+    for line, sign, wanted in zip(lines, signs, keep):
+        kind = _KIND.get(sign, "text")
         body = _SIGN.sub("", line)
         if not body.strip():
             gap = True
             continue
-        if kind == "text" and not wanted:
+        if kind == "text" and not wanted and _LINKED.search(line):
             continue
         body = p.restore(body.rstrip())
         if kind not in ("code", "formula"):
@@ -328,32 +395,30 @@ def clean(text: str | None, window: int = WINDOW, surge: int = SURGE) -> dict:
         if last and last["kind"] == kind and (kind in ("list", "table") or kind == "text" and not gap):
             last["text"] += "\n" + body
         else:
-            blocks.append({"kind": kind, "text": body})
+            blocks.append({"kind": kind, "level": ord(sign) - 0x10 if kind == "heading" else 0, "text": body})
         gap = False
-    shown = []
-    for b in blocks:
-        shown.append("\n".join("• " + x for x in b["text"].split("\n")) if b["kind"] == "list" else b["text"])
-    return {"text": "\n\n".join(shown), "marks": p.marks, "kinds": sorted({b["kind"] for b in blocks}), "blocks": blocks, "notes": p.notes}
+    residue = any(b["kind"] != "text" for b in blocks) or _visible("\n".join(b["text"] for b in blocks)) != _visible(text)
+    return _result("\n\n".join(map(_shown, blocks)), blocks, residue, p.marks, p.notes)
 
 
-def clean_column(text, window: int = WINDOW, surge: int = SURGE):
-    """The column expression of :func:`clean`: a struct of text, marks, kinds, blocks and notes."""
-
-    @F.pandas_udf(RESULT)
-    def convert(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([clean(x, window, surge) for x in batch], columns=["text", "marks", "kinds", "blocks", "notes"])
-
-    return convert(text)
-
-
-def clean_bodies(entities: DataFrame, components: DataFrame, current, **options) -> DataFrame:
-    """``src_table, id, text, marks, kinds, blocks, notes`` of the current entities and of the components.
+def clean_bodies(entities: DataFrame, components: DataFrame, current, columns: tuple[str, ...] = tuple(RESULT), **options) -> DataFrame:
+    """``src_table, id`` and ``columns`` of RESULT of the current entities and of the components.
 
     ``current`` picks the current row per entity. Exact copies of a component come out once; rows without
     an id are none; extra columns play no part; empty tables give no rows.
     """
     bodies = current(entities, "body").select(F.lit("entities").alias("src_table"), "id", "body")
     parts = components.filter(F.col("id").isNotNull()).select(F.lit("components").alias("src_table"), "id", "body")
-    both = bodies.unionByName(parts.distinct())
-    return both.select("src_table", "id", clean_column(F.col("body"), **options).alias("c")).select("src_table", "id", "c.*")
+    ddl = ", ".join(f"{c} {RESULT[c]}" for c in columns)
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # bodies may be long
+                b = batch.slice(at, 256)
+                rows = [clean(x, **options) for x in b.column(2).to_pylist()]
+                made = [pa.array([r[c] for r in rows], schema.field(c).type) for c in columns]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["src_table", "id", *columns])
+
+    both = bodies.unionByName(parts.distinct()).select("src_table", "id", "body")
+    return both.mapInArrow(convert, f"src_table string, id string, {ddl}")

@@ -10,16 +10,16 @@ from ..session import materialize, read_table
 from . import distinctive, encode, frequency, leakage, markup, spans, split
 
 
-def _clean(spark: SparkSession, d: str) -> DataFrame:
-    return markup.clean_bodies(read_table(spark, d, "entities"), read_table(spark, d, "components"), current_rows)
+def _clean(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return markup.clean_bodies(read_table(spark, d, "entities"), read_table(spark, d, "components"), current_rows, columns)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _clean(spark, d).filter(F.col("marks") > 0).select("src_table", "id").distinct()
+    return _clean(spark, d, "residue").filter("residue").select("src_table", "id").distinct()
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
-    return _clean(spark, d).select("src_table", "id", "text", "marks", "kinds", "notes")
+    return _clean(spark, d, "text", "marks", "kinds", "notes")
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -83,7 +83,7 @@ def test_plain_text_has_no_markup(text):
 
 
 def test_plain_shortcut_is_no_narrower_than_the_rules():
-    for text, want in {"uno}} dos": "uno dos", "uno]] dos": "uno dos", "uno\r- dos": "uno\n\n• dos", "uno\r1. dos": "uno\n\n• dos"}.items():
+    for text, want in {"uno}} dos": "uno dos", "uno]] dos": "uno dos", "uno\r- dos": "uno\n\n• dos", "uno\r1. dos": "uno\n\n1. dos"}.items():
         out = M.clean(text)
         assert (out["text"], out["marks"]) == (want, 1)
     assert M.clean("uno} dos] tres\rcuatro")["marks"] == 0
@@ -115,6 +115,37 @@ def test_no_text_is_lost_with_notes_and_comments():
     M.clean("<!-- " * 20_000)
 
 
+def test_levels_and_numbers_are_kept():
+    text = "# Uno\n\n### **Dos**\n\n1. a\n2. *b*\n- **c**\n\n<h4>Tres</h4>\n== Cuatro ==\n\\subsection{Cinco}\nSeis\n----"
+    out = M.clean(text)
+    heads = [(b["level"], b["text"]) for b in out["blocks"] if b["kind"] == "heading"]
+    assert heads == [(1, "Uno"), (3, "Dos"), (4, "Tres"), (2, "Cuatro"), (3, "Cinco"), (2, "Seis")]
+    assert "1. a\n2. b\n• c" in out["text"]
+
+
+NAVIGATION = "[Inicio](/) | [Guía](/g)\n<a href='/x'>Contacto</a>\n[[Portada]]\n\n"
+
+
+def test_runs_of_links_are_navigation():
+    """What lies outside of surge and dive goes; switching the step off keeps it."""
+    page = NAVIGATION + "El palé **no** cabe.\n\nVer [la regla](r.md).\n\n" + "[uno](a)\n\n[dos](b)\n"
+    assert M.clean(page)["text"] == "El palé no cabe.\n\nVer la regla."
+    assert M.clean(page, surge=0)["text"] == "Inicio | Guía\nContacto\nPortada\n\nEl palé no cabe.\n\nVer la regla.\n\nuno\n\ndos"
+    assert M.clean(page)["residue"]
+
+
+def test_links_that_are_no_navigation_stay():
+    assert M.clean(NAVIGATION)["text"] == "Inicio | Guía\nContacto\nPortada"  # nothing else is there
+    assert M.clean("uno\n[dos](b)\ntres")["text"] == "uno\ndos\ntres"  # between lines of text
+    assert M.clean("uno\n\n\n\n\n- [dos](b)\n")["text"] == "uno\n\n• dos"  # a list
+    assert M.clean("uno\n\n\n\n\ndos\n\n\n\n\n\n**\n\n3")["text"] == "uno\n\ndos\n\n**\n\n3"  # plain lines, however short
+
+
+def test_kept_lines():
+    assert M.kept_lines([0, 0, 5, 0, 5, 0, 0, 0, 0, 5, 0], 3, 1) == [False, False, True, True, True, False, False, False, False, True, False]
+    assert M.kept_lines([0, 0], 3, 1) == [True, True] and M.kept_lines([], 3, 1) == []
+
+
 def test_line_blocks():
     assert M.line_blocks([5, 0, 0, 0, 0, 5], 3, 1) == [True, True, True, True, True, True]
     assert M.line_blocks([5, 0, 0, 0, 0, 0, 5], 2, 1) == [True, True, False, False, False, True, True]

@@ -1,46 +1,55 @@
 """Processing only new or changed records.
 
 The commit sequence is ``landed_at``: it only grows as rows arrive, while ``updated_at`` may come late or
-out of order. A run fixes its upper limit when it starts, takes the rows with a sequence in
-``(watermark, upper]``, folds them into the state (best row per id) and reports the ids whose state
-differs. Rows, state and watermark become visible together, by the creation of one manifest file; a run
+out of order. A run has an upper limit that is fixed when it starts; it takes the rows with a sequence in
+``(watermark, upper]`` of its root, folds them into the state (best row per root and id), and reports the ids
+whose state differs. Rows, state and watermarks become visible together, by one commit file; a run
 that fails before leaves nothing behind that a later run would read.
 
-``replay`` does the same for a whole log of runs at once. Each row belongs to the first successful run
-that started at or after its landing; the best row per (root, id, run) is a map-side combined aggregate,
-so an id with a third of all rows is reduced to at most one row per run before the window over runs.
+A call takes all runs of a log that are later than the watermarks, each with its own limits, in one fold: each row
+belongs to the first successful run that started at or after its landing. The best row per (root, id, run) is
+combined map-side, so an id with a third of all rows is reduced to at most one row per run before the window over
+runs. The state is kept in parts by hash of the id; a commit reads and writes only the parts its rows touch.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..commits import CommitLog
+
 CONTENT = ["type", "name", "body", "metadata"]
+STATE = "struct<updated_at: timestamp_ntz, fp: binary>"
+#: Parts of the state.
+PARTS = 64
 
 
 def normal_path(path: Column) -> Column:
-    """Backslashes become slashes; leading ``./`` and ``/`` go, repeated ones too."""
-    return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(?:\./|/)+", "")
+    """Backslashes become slashes; leading ``./`` and ``/`` go, repeated ones too. Null and empty paths are alike: empty."""
+    return F.coalesce(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(?:\./|/)+", ""), F.lit(""))
 
 
 def root_of(path: Column) -> Column:
-    """First segment of a normal path; ``none`` for null and empty."""
-    return F.when(F.coalesce(path, F.lit("")) == "", F.lit("none")).otherwise(F.substring_index(path, "/", 1))
+    """First segment of a normal path; ``none`` for an empty one."""
+    return F.when(path == "", F.lit("none")).otherwise(F.substring_index(path, "/", 1))
 
 
 def fingerprinted(rows: DataFrame, seq: str = "landed_at") -> DataFrame:
-    """``root, id, seq, updated_at, fp``: what a run has to know of a row. Null fields differ from empty ones."""
+    """``root, id, seq, updated_at, fp``: what a run has to know of a row.
+
+    Null fields differ from empty ones, but for the path. Rows without an id are no records, and rows without a
+    sequence have not landed: neither is ever taken.
+    """
     path = normal_path(F.col("source_path"))
     content = F.struct(*CONTENT, path.alias("path"))
     return rows.filter(F.col("id").isNotNull() & F.col(seq).isNotNull()).select(
         root_of(path).alias("root"),
         "id",
         F.col(seq).alias("seq"),
-        "updated_at",
+        F.col("updated_at").cast("timestamp_ntz").alias("updated_at"),
         F.unhex(F.sha2(F.to_json(content), 256)).alias("fp"),
     )
 
@@ -49,92 +58,111 @@ def successful(runs: DataFrame) -> DataFrame:
     return runs.filter((F.col("status") == "ok") & F.col("finished_at").isNotNull() & F.col("started_at").isNotNull())
 
 
-def run_slots(runs: DataFrame):
-    """Successful runs as the intervals of sequence they take, one row per day an interval touches, and ``first``.
+def run_slots(runs: DataFrame, marks: DataFrame):
+    """Pending runs as the intervals ``(after, upper]`` they take, one row per day an interval touches, and ``first``.
 
-    ``first`` is the day of the earliest run: all rows landed before it belong to that day's slot.
-    The day makes the as-of lookup an equi-join; a day holds only the runs of that day and the next one.
+    ``marks`` has ``root, mark, mark_run``: the last run taken of each root. Earlier runs of the log are done; rows of
+    a run that is logged late were taken by the next one. ``first`` is the day of the earliest pending run: all rows
+    landed before it belong to that day's slot. The day makes the as-of lookup an equi-join; a day holds only the
+    runs of that day and the next one.
     """
     order = Window.partitionBy("source_root").orderBy("started_at", "run_id")
-    ok = successful(runs).withColumn("prev", F.lag("started_at").over(order)).withColumn("k", F.row_number().over(order))
+    ok = successful(runs).select(F.col("source_root").alias("root"), "source_root", "run_id", "started_at").join(F.broadcast(marks), "root", "left")
+    later = F.struct("started_at", "run_id") > F.struct(F.col("mark").alias("started_at"), F.col("mark_run").alias("run_id"))
+    ok = ok.filter(F.col("mark").isNull() | later)
+    ok = ok.withColumn("after", F.coalesce(F.lag("started_at").over(order), "mark")).withColumn("k", F.row_number().over(order))
     first = ok.agg(F.min(F.to_date("started_at")).alias("d")).first()["d"]
-    days = F.sequence(F.coalesce(F.to_date("prev"), F.lit(first)), F.to_date("started_at"))
-    return ok.select(
-        F.col("source_root").alias("run_root"), "run_id", "k", "prev", "started_at", F.explode(days).alias("day")
-    ), first
+    days = F.sequence(F.greatest(F.coalesce(F.to_date("after"), F.lit(first)), F.lit(first)), F.to_date("started_at"))
+    return ok.select(F.col("root").alias("run_root"), "run_id", "k", "after", F.col("started_at").alias("upper"), F.explode(days).alias("day")), first
 
 
-def replay(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """``run_id, id, change`` (``new`` or ``changed``) for every successful run of the log.
-
-    Rows of ``rows`` that tie on ``updated_at`` count as copies; a null ``updated_at`` is older than any
-    other. Rows that land after the last successful run of their root are pending and give no case.
-    An empty log or table gives no rows.
-    """
-    slots, first = run_slots(runs)
-    if first is None:
-        return rows.sparkSession.createDataFrame([], "run_id bigint, id string, change string")
-    marked = fingerprinted(rows).withColumn("day", F.greatest(F.to_date("seq"), F.lit(first)))
+def best_rows(marked: DataFrame, slots: DataFrame, first) -> DataFrame:
+    """``root, id, k, run_id, best``: the best row of each id among those a run takes."""
+    marked = marked.withColumn("day", F.greatest(F.to_date("seq"), F.lit(first)))
     taken = marked.join(
         slots,
         (marked["root"] == slots["run_root"])
         & (marked["day"] == slots["day"])
-        & (marked["seq"] <= slots["started_at"])
-        & (slots["prev"].isNull() | (marked["seq"] > slots["prev"])),
+        & (marked["seq"] <= slots["upper"])
+        & (slots["after"].isNull() | (marked["seq"] > slots["after"])),
     )
-    best = taken.groupBy("root", "id", "k", "run_id").agg(F.max(F.struct("updated_at", "fp")).alias("best"))
+    return taken.groupBy("root", "id", "k", "run_id").agg(F.max(F.struct("updated_at", "fp")).cast(STATE).alias("best"))
+
+
+def fold(best: DataFrame) -> DataFrame:
+    """``root, id, run_id, change, state``: per run, whether an id is ``new``, ``changed`` or null; ``state`` in the last row only.
+
+    Rows with ``k`` 0 are the state before; they are no run.
+    """
     over = Window.partitionBy("root", "id").orderBy("k")
-    state = best.withColumn("state", F.max("best").over(over.rowsBetween(Window.unboundedPreceding, 0)))
-    state = state.withColumn("before", F.lag("state").over(over))
-    change = F.when(F.col("before").isNull(), "new").when(F.col("before.fp") != F.col("state.fp"), "changed")
-    return state.select("run_id", "id", change.alias("change")).filter(F.col("change").isNotNull())
+    state = best.withColumn("now", F.max("best").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    state = state.withColumn("before", F.lag("now").over(over)).withColumn("last", F.lead("k").over(over).isNull())
+    change = F.when(F.col("k") == 0, None).when(F.col("before").isNull(), "new").when(F.col("before.fp") != F.col("now.fp"), "changed")
+    out = state.select("root", "id", "run_id", change.alias("change"), F.when(F.col("last"), F.col("now")).alias("state"))
+    return out.filter(F.col("change").isNotNull() | F.col("state").isNotNull())
 
 
 class IncrementalRunner:
-    """Exactly-once runs over one root, with state and watermark in a folder all executors share.
+    """Exactly-once runs, with output, state and watermarks in a folder all executors share.
 
-    ``<base>/<root>/commits/<n>.json`` names the folders of run n and its watermark. The file is written
-    under a temporary name and renamed; the rename is the commit, and fails if another run took the number.
+    ``<base>/commits/<n>.json`` names the last run of each root, the folder of each part of the state, and the folder
+    of the commit's output. Of two runners that start from one commit, one fails (``commits.ConflictError``).
     """
 
-    def __init__(self, spark: SparkSession, base: str, root: str):
-        self.spark, self.root, self.base = spark, root, f"{base.rstrip('/')}/{root}"
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.base}/commits"))
-
-    def history(self) -> list[dict]:
-        names = [s.getPath().toString() for s in self._fs.listStatus(self._path(f"{self.base}/commits"))]
-        names = sorted(n for n in names if n.endswith(".json"))
-        return [json.loads("".join(r[0] for r in self.spark.read.text(n).collect())) for n in names[-1:]]
-
-    def _commit(self, number: int, entry: dict) -> None:
-        temp, final = f"{self.base}/.{uuid.uuid4().hex}", self._path(f"{self.base}/commits/{number:012d}.json")
-        out = self._fs.create(self._path(temp))
-        out.write(bytearray(json.dumps(entry).encode()))
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(self._path(temp), final):
-            raise RuntimeError(f"commit {number} of {self.root} was taken by another run")
-
-    def run(self, rows: DataFrame, upper) -> DataFrame:
-        """Take the rows landed after the last watermark and up to ``upper``; returns ``id, change``."""
-        last = (self.history() or [{"n": 0, "watermark": None, "state": None}])[-1]
-        kind = rows.schema["landed_at"].dataType
-        slice_ = fingerprinted(rows).filter((F.col("root") == self.root) & (F.col("seq") <= F.lit(str(upper)).cast(kind)))
-        if last["watermark"] is not None:
-            slice_ = slice_.filter(F.col("seq") > F.lit(last["watermark"]).cast(kind))
-        fresh = slice_.groupBy("id").agg(F.max(F.struct("updated_at", "fp")).alias("fresh"))
+    def __init__(self, spark: SparkSession, base: str, parts: int = PARTS):
+        self.spark, self.base, self.parts = spark, base.rstrip("/"), parts
+        self.log = CommitLog(spark, f"{self.base}/commits")
+
+    def _marks(self, last: dict) -> DataFrame:
+        rows = [(root, m["started_at"], m["run_id"]) for root, m in last["marks"].items()]
+        return self.spark.createDataFrame(rows, "root string, mark string, mark_run bigint").withColumn("mark", F.col("mark").cast("timestamp_ntz"))
+
+    def _state(self, last: dict, parts: list[int]) -> DataFrame | None:
+        folders = [last["state"][str(p)] for p in parts if str(p) in last["state"]]
+        if not folders:
+            return None
+        held = self.spark.read.parquet(*folders).filter(F.col("state").isNotNull())
+        return held.select("root", "id", F.lit(0).alias("k"), F.lit(None).cast("bigint").alias("run_id"), F.col("state").alias("best"))
+
+    def run_log(self, rows: DataFrame, runs: DataFrame) -> DataFrame:
+        """Take all pending runs of a log (``run_id, source_root, started_at, finished_at, status``); returns ``run_id, id, change``.
+
+        A run succeeded if its status is ``ok`` and it has an end; other runs take nothing. Rows of ``rows`` that tie on
+        ``updated_at`` count as copies; a null ``updated_at`` is older than any other. Rows that landed after the last
+        run of their root stay pending. Without pending runs, or with empty tables, nothing is committed and no row comes
+        out.
+        """
+        last = self.log.latest() or {"n": 0, "marks": {}, "state": {}}
+        slots, first = run_slots(runs, self._marks(last))
+        if first is None:
+            return self.spark.createDataFrame([], "run_id bigint, id string, change string")
+        part = F.pmod(F.xxhash64("id"), F.lit(self.parts)).cast("int")
         home = f"{self.base}/data/{uuid.uuid4().hex}"
+        best = best_rows(fingerprinted(rows), slots, first)
         if last["state"]:
-            old = self.spark.read.parquet(last["state"])
-            both = old.join(fresh, "id", "full_outer")
-        else:
-            both = fresh.withColumn("state", F.lit(None).cast(fresh.schema["fresh"].dataType))
-        both = both.select("id", F.greatest("state", "fresh").alias("now"), F.col("state").alias("before"))
-        change = F.when(F.col("before").isNull(), "new").when(F.col("before.fp") != F.col("now.fp"), "changed")
-        both.select("id", F.col("now").alias("state"), change.alias("change")).write.parquet(f"{home}/all")
-        done = self.spark.read.parquet(f"{home}/all")
-        done.select("id", "state").write.parquet(f"{home}/state")
-        self._commit(last["n"] + 1, {"n": last["n"] + 1, "watermark": str(upper), "state": f"{home}/state"})
-        return done.select("id", "change").filter(F.col("change").isNotNull())
+            best.withColumn("part", part).write.parquet(f"{home}/taken")
+            taken = self.spark.read.parquet(f"{home}/taken")
+            touched = taken.agg(F.collect_set("part")).first()[0]  # at most self.parts numbers
+            old = self._state(last, touched)
+            best = taken.drop("part") if old is None else taken.drop("part").unionByName(old)
+        fold(best).withColumn("part", part).write.partitionBy("part").parquet(f"{home}/out")
+        names = [s.getPath().getName() for s in self.log._fs.listStatus(self.log._path(f"{home}/out"))]
+        written = {n.removeprefix("part="): f"{home}/out/{n}" for n in names if n.startswith("part=")}
+        ends = slots.groupBy("run_root").agg(F.max(F.struct("upper", "run_id")).alias("m"))
+        marks = {r["run_root"]: {"started_at": str(r["m"]["upper"]), "run_id": r["m"]["run_id"]} for r in ends.collect()}  # a row for each root
+        entry = {"n": last["n"] + 1, "marks": last["marks"] | marks, "state": last["state"] | written, "output": f"{home}/out"}
+        self.log.append(entry["n"], entry)
+        return self.output(entry)
+
+    def output(self, entry: dict | None = None) -> DataFrame:
+        """``run_id, id, change`` of a commit, the last one by default."""
+        entry = entry or self.log.latest()
+        schema = f"root string, id string, run_id bigint, change string, state {STATE}, part int"
+        out = self.spark.read.schema(schema).parquet(entry["output"])
+        return out.filter(F.col("change").isNotNull()).select("run_id", "id", "change")
+
+    def run(self, rows: DataFrame, root: str, run_id: int, started_at) -> DataFrame:
+        """One run over one root, its upper limit fixed at ``started_at``."""
+        log = self.spark.createDataFrame([(run_id, root, str(started_at), "ok")], "run_id bigint, source_root string, started_at string, status string")
+        log = log.withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
+        return self.run_log(rows, log.withColumn("finished_at", F.col("started_at")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import hierarchy as H
 from ..operators import incremental as I
 from ..operators import references as R
-from ..session import materialize, read_table
+from ..session import materialize, read_table, work_path
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -24,13 +24,17 @@ def p2_per_period(spark: SparkSession, d: str) -> DataFrame:
     return R.orphans_per_period(_orphans(spark, d))
 
 
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    runner = I.IncrementalRunner(spark, work_path(spark, "runs"))
+    return runner.run_log(read_table(spark, d, "entities"), read_table(spark, d, "ingest_runs"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return I.replay(read_table(spark, d, "entities"), read_table(spark, d, "ingest_runs")).select("run_id", "id")
+    return _runs(spark, d).select("run_id", "id")
 
 
 def p6_per_run(spark: SparkSession, d: str) -> DataFrame:
-    cases = I.replay(read_table(spark, d, "entities"), read_table(spark, d, "ingest_runs"))
-    return cases.groupBy("run_id", "change").agg(F.count(F.lit(1)).alias("n"))
+    return _runs(spark, d).groupBy("run_id", "change").agg(F.count(F.lit(1)).alias("n"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,9 +81,9 @@ ok AS (
   SELECT run_id, source_root, started_at,
     lag(run_id) OVER (PARTITION BY source_root ORDER BY started_at, run_id) AS prev_id
   FROM ingest_runs WHERE status = 'ok' AND finished_at IS NOT NULL),
-paths AS (SELECT *, regexp_replace(replace(source_path, '\', '/'), '^(\./|/)+', '') AS path FROM entities),
+paths AS (SELECT *, coalesce(regexp_replace(replace(source_path, '\', '/'), '^(\./|/)+', ''), '') AS path FROM entities),
 rooted AS (
-  SELECT *, CASE WHEN coalesce(path, '') = '' THEN 'none' ELSE split_part(path, '/', 1) END AS root FROM paths),
+  SELECT *, CASE WHEN path = '' THEN 'none' ELSE split_part(path, '/', 1) END AS root FROM paths),
 states AS (
   SELECT o.run_id, o.prev_id, e.id, md5(to_json([e.type, e.name, e.body, e.metadata, e.path])) AS content
   FROM ok o JOIN rooted e ON e.root = o.source_root AND e.landed_at <= o.started_at

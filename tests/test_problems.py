@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.commits import ConflictError
 from quillgraph.operators import hierarchy as H
 from quillgraph.operators import incremental as I
 from quillgraph.operators import references as R
@@ -79,7 +80,7 @@ def entity(id, body, updated, landed, path="docs/x.md"):
     return (id, "t", "n", body, "{}", path, updated, landed, 0)
 
 
-def test_replay(spark):
+def test_runs_of_a_log(spark, tmp_path):
     rows = [
         entity("a", "1", T(1), T(1)),
         entity("a", "1", T(2), T(3)),  # written again, alike
@@ -101,8 +102,8 @@ def test_replay(spark):
         (5, "docs", T(9), T(9, 1), "ok"),
         (6, "none", T(9), T(9, 1), "ok"),
     ]
-    out = I.replay(spark.createDataFrame(rows, ENTITY), spark.createDataFrame(runs, RUN)).collect()
-    assert {(r["run_id"], r["id"], r["change"]) for r in out} == {
+    out = run_log(spark, tmp_path, rows, runs)
+    assert out == {
         (1, "a", "new"),
         (1, "b", "new"),
         (3, "a", "changed"),
@@ -111,28 +112,59 @@ def test_replay(spark):
     }
 
 
-def test_replay_of_empty_tables(spark):
-    none = spark.createDataFrame([], ENTITY), spark.createDataFrame([], RUN)
-    one_run = spark.createDataFrame([(1, "docs", T(2), T(3), "ok")], RUN)
-    assert I.replay(*none).count() == 0
-    assert I.replay(none[0], one_run).count() == 0
+def run_log(spark, tmp_path, rows, runs, name="runs", **options):
+    runner = I.IncrementalRunner(spark, f"file://{tmp_path}/{name}", **options)
+    out = runner.run_log(spark.createDataFrame(rows, ENTITY), spark.createDataFrame(runs, RUN)).collect()
+    found = {(r["run_id"], r["id"], r["change"]) for r in out}
+    assert len(found) == len(out)
+    return found
+
+
+def test_null_and_empty_paths_are_alike(spark, tmp_path):
+    """Both are root none with the same normal path, as TESTDATA says; so is a path of slashes only."""
+    rows = [entity("a", "1", T(day), T(day), path) for day, path in ((1, None), (3, ""), (5, "./"), (7, "\\"))]
+    rows += [entity("b", "1", T(1), T(1), ""), entity("b", "2", T(3), T(3), None)]
+    runs = [(day, "none", T(day), T(day), "ok") for day in (2, 4, 6, 8)]
+    assert run_log(spark, tmp_path, rows, runs) == {(2, "a", "new"), (2, "b", "new"), (4, "b", "changed")}
+
+
+def test_runs_of_empty_tables(spark, tmp_path):
+    assert run_log(spark, tmp_path, [], []) == set()
+    assert run_log(spark, tmp_path, [], [(1, "docs", T(2), T(3), "ok")]) == set()
+    assert run_log(spark, tmp_path, [entity("a", "1", T(1), T(1))], [(1, "docs", T(2), T(3), "failed")]) == set()
+
+
+def test_runs_in_steps_equal_runs_at_once(spark, tmp_path):
+    """However the log is cut, with state kept between the steps, each case comes out once."""
+    rng = random.Random(6)
+    hour = lambda n: T(1) + dt.timedelta(hours=n)
+    paths = ["docs/a", "./docs/b", "rules\\c", None, ""]
+    rows = [entity(f"e{rng.randrange(9)}", str(rng.randrange(2)), hour(rng.randrange(99)), hour(rng.randrange(99)), rng.choice(paths)) for _ in range(200)]
+    # Rows that tie are copies.
+    rows = list({(r[0], r[6]): r for r in rows}.values())
+    runs = [(n, rng.choice(["docs", "rules", "none"]), hour(4 * n), hour(4 * n), rng.choice(["ok", "ok", "failed"])) for n in range(25)]
+    whole = run_log(spark, tmp_path, rows, runs, "whole")
+    steps = [run_log(spark, tmp_path, [r for r in rows if r[7] <= runs[n - 1][2]], runs[:n], "steps", parts=3) for n in (7, 8, 15, 25)]
+    assert set.union(*steps) == whole and sum(map(len, steps)) == len(whole)
 
 
 def test_runner_commits_once(spark, tmp_path):
     rows = [entity("a", "1", T(1), T(1)), entity("a", "2", T(2), T(5)), entity("b", "1", T(1), T(5))]
     df = spark.createDataFrame(rows, ENTITY)
-    runner = I.IncrementalRunner(spark, f"file://{tmp_path}", "docs")
-    take = lambda upper: sorted((r["id"], r["change"]) for r in runner.run(df, upper).collect())
-    assert take(T(2)) == [("a", "new")]
-    commit = runner._commit
-    runner._commit = lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    runner = I.IncrementalRunner(spark, f"file://{tmp_path}")
+    take = lambda n, upper: sorted((r["id"], r["change"]) for r in runner.run(df, "docs", n, upper).collect())
+    assert take(1, T(2)) == [("a", "new")]
+    append = runner.log.append
+    runner.log.append = lambda *a: (_ for _ in ()).throw(OSError("lost"))
     with pytest.raises(OSError):
-        runner.run(df, T(6))
-    runner._commit = commit
-    assert take(T(6)) == [("a", "changed"), ("b", "new")]  # neither skipped nor repeated
-    assert take(T(7)) == []
-    with pytest.raises(RuntimeError):
-        runner._commit(1, {})
+        runner.run(df, "docs", 2, T(6))
+    runner.log.append = append
+    assert take(3, T(6)) == [("a", "changed"), ("b", "new")]  # neither skipped nor repeated
+    assert take(4, T(7)) == []
+    assert take(2, T(6)) == []  # an earlier run is done
+    with pytest.raises(ConflictError):
+        runner.log.append(1, {})
+    assert runner.log.numbers() == [1, 2, 3]
 
 
 def walk(parents: dict[str, str]) -> set:

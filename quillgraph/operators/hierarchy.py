@@ -1,12 +1,12 @@
 """Parent-child links to full hierarchies.
 
-Level-wise frontier joins: the roots are level 0, and the frontier is joined with the links until it finds
-no more nodes. The first join goes one level down, the next two, then four, up to MAX_STRIDE levels at once:
-with the frontier the links are joined with themselves, so that they lead as far as the frontier is deep.
-So a tree of depth 100 takes a dozen jobs instead of 100, and the links of a long stride are few, as only
-deep nodes have them. Each node is found once, from one ancestor. Joins are on the ancestor, which is one
-row of the frontier; an ancestor of very many nodes makes a skewed partition on the links' side only, which
-adaptive execution splits.
+Level-wise frontier joins: the roots are level 0, and the levels found so far are joined with the links until
+no more nodes are found. The first join goes one level down, the next two, then four: with each round the links are
+joined with themselves, so that they lead as far as the levels found are deep. So a tree of depth d takes
+log2(d) rounds of one job each, and the links of a long stride are few, as only deep nodes have them. Each node is
+found once, from one ancestor. The rounds are written to one folder and read together, so the plan does not
+grow with the depth. Joins are on the ancestor, which is one row of the levels; an ancestor of very many nodes makes a
+skewed partition on the links' side only, which adaptive execution splits.
 
 Nodes that the roots don't reach are on a cycle or below one; the number of steps to the cycle is not known
 there, so they are resolved by doubling the jumps along their parents. For their ancestors, the nodes below
@@ -15,13 +15,13 @@ are walked down from the cycles like trees, and each cycle is walked once around
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import materialize, materialize_counted
+from ..session import materialize, materialize_counted, path_exists, work_path
 
-#: Levels that one join goes down at most.
-MAX_STRIDE = 16
+#: Rows of a round: nodes found (``a`` the node, ``b`` its root), or links of the next stride (from ``a`` to ``b``).
+_ROUND = "a string, b string, depth bigint, path array<string>"
 
 
 def hierarchy_links(edges: DataFrame) -> DataFrame:
@@ -44,33 +44,34 @@ def hierarchy_links(edges: DataFrame) -> DataFrame:
 
 def _levels(links: DataFrame, parents: DataFrame, with_paths: bool) -> DataFrame:
     """``node_id, root_id, depth[, path]`` of all nodes that the roots reach."""
-    path = ["path"] if with_paths else []
-    node = F.col("parent")
-    roots = parents.join(links.select(F.col("child").alias("parent")), "parent", "left_anti")
-    level = roots.select(node.alias("node_id"), node.alias("root_id"), F.lit(0).cast("bigint").alias("depth"))
-    frontier, n = materialize_counted(level.withColumn("path", F.array("node_id")) if with_paths else level, "level")
-    out, stride = frontier, 1
-    # Descendants at a distance of exactly `stride`; `path` has the nodes in between and the last.
-    far = links.select(node.alias("from"), F.col("child").alias("to"), *([F.array("child").alias("step")] if with_paths else []))
+    spark = links.sparkSession
+    folder = work_path(spark, "levels")
+    read = lambda n, tag: spark.read.schema(_ROUND).parquet(f"{folder}/round={n}/tag={tag}")
+    path = lambda *c: (F.concat(*c) if with_paths else F.lit(None).cast("array<string>")).alias("path")
+
+    def write(n: int, rows: DataFrame) -> int:
+        seen = Observation()
+        rows.observe(seen, F.count_if(F.col("tag") == "found").alias("n")).write.partitionBy("tag").parquet(f"{folder}/round={n}")
+        return seen.get["n"]
+
+    roots = parents.join(links.select(F.col("child").alias("parent")), "parent", "left_anti").withColumnRenamed("parent", "a")
+    n = write(0, roots.select("a", F.col("a").alias("b"), F.lit(0).cast("bigint").alias("depth"), path(F.array("a")), F.lit("found").alias("tag")))
+    # Descendants at a distance of exactly `stride`; their path has the nodes in between and the last.
+    far = links.select(F.col("parent").alias("a"), F.col("child").alias("b"), path(F.array("child")))
+    rounds, stride = 0, 1
     while n:
-        joined = frontier.join(far, frontier["node_id"] == far["from"])
-        found = joined.select(
-            F.col("to").alias("node_id"),
-            "root_id",
-            (F.col("depth") + stride).alias("depth"),
-            *([F.concat("path", "step").alias("path")] if with_paths else []),
-        )
-        found, n = materialize_counted(found, "level")
-        out = out.unionByName(found)
-        if n and stride < MAX_STRIDE:
-            frontier = frontier.unionByName(found)
-            more = far.select(F.col("from").alias("to"), F.col("to").alias("end"), *([F.col("step").alias("more")] if with_paths else []))
-            step = [F.concat("step", "more").alias("step")] if with_paths else []
-            far = materialize(far.join(more, "to").select("from", F.col("end").alias("to"), *step), "links")
-            stride *= 2
-        else:
-            frontier = found
-    return out.select("node_id", "root_id", "depth", *path)
+        levels, step = read("*", "found"), far.select("a", F.col("b").alias("to"), F.col("path").alias("step"))
+        found = levels.join(step, "a").select(F.col("to").alias("a"), "b", (F.col("depth") + stride).alias("depth"), path("path", "step"), F.lit("found").alias("tag"))
+        farther = far.select(F.col("a").alias("from"), F.col("b").alias("a"), "path").join(step, "a")
+        farther = farther.select(F.col("from").alias("a"), F.col("to").alias("b"), F.lit(None).cast("bigint").alias("depth"), path("path", "step"), F.lit("far").alias("tag"))
+        rounds, stride = rounds + 1, 2 * stride
+        n = write(rounds, found.unionByName(farther))
+        if not path_exists(spark, f"{folder}/round={rounds}/tag=far"):
+            break  # no link leads farther
+        far = read(rounds, "far")
+    if not path_exists(spark, f"{folder}/round=0/tag=found"):
+        return spark.createDataFrame([], "node_id string, root_id string, depth bigint" + (", path array<string>" if with_paths else ""))
+    return read("*", "found").select(F.col("a").alias("node_id"), F.col("b").alias("root_id"), "depth", *(["path"] if with_paths else []))
 
 
 def _cycles(left: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,21 +15,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..schema import conform
+from ..session import path_exists
 
 FILES = "source_path string, content string"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_files(spark: SparkSession, root: str, glob: str, tolerant: bool = True) -> DataFrame:
     """``source_path, content`` of all files under a folder whose name matches; one row per file.
 
     A missing folder gives no rows if ``tolerant``, else an error.
     """
-    if tolerant and not exists(spark, root):
+    if tolerant and not path_exists(spark, root):
         return spark.createDataFrame([], FILES)
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return files.select(F.regexp_replace("_metadata.file_path", "^file:(?://)?", "").alias("source_path"), F.col("value").alias("content"))

@@ -198,6 +198,17 @@ def test_hierarchy_against_brute_force(spark):
     assert found(tree(spark, parents)) == walk(parents)
 
 
+def test_a_deep_chain_takes_few_jobs_and_a_plan_of_one_scan(spark):
+    n = 20_000
+    edges = spark.range(1, n).select(F.format_string("n%05d", F.col("id") - 1).alias("src"), F.format_string("n%05d", "id").alias("dst"), F.lit("contains").alias("relation"))
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup())
+    out = H.hierarchy(edges)
+    assert len(set(tracker.getJobIdsForGroup()) - before) < 150
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    assert out.agg(F.count("*"), F.max("depth"), F.sum("depth"), F.min("root_id"), F.max("root_id")).first() == (n, n - 1, n * (n - 1) // 2, "n00000", "n00000")
+
+
 def test_hierarchy_edge_cases(spark):
     schema = "src string, dst string, relation string, depth int, node_id string"
     rows = [("a", "b", "contains", 1, "x"), ("a", "b", "contains", 1, "x"), ("a", "b", "part_of", 1, "x"), ("c", "d", "cites", 1, "x")]

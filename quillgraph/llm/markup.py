@@ -375,9 +375,10 @@ def clean(text: str | None, window: int = WINDOW, surge: int = SURGE) -> dict:
     _strip(p)
     lines = p.text.split("\n")
     signs = [line[at + 1 : at + 2] if (at := line.find("\x02")) >= 0 else "" for line in lines]
-    # Structure counts as text, links do not.
-    lengths = [sum(map(str.isalnum, x if sign else _LINKED.sub("", x))) for x, sign in zip(lines, signs)]
-    keep = kept_lines(lengths, window, surge)
+    # Structure counts as text, links do not. A line without a link stays whatever its length.
+    keep = [True] * len(lines)
+    if _LINK in p.text:
+        keep = kept_lines([sum(map(str.isalnum, x if sign else _LINKED.sub("", x))) for x, sign in zip(lines, signs)], window, surge)
     blocks: list[dict] = []
     gap = True
     for line, sign, wanted in zip(lines, signs, keep):

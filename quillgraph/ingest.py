@@ -7,11 +7,13 @@ import re
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 from pathlib import Path
 from types import ModuleType
 from typing import Any, Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .sources.plugins import GraphDelta
 from .store import GraphStore
@@ -105,6 +107,14 @@ class IngestResult:
         return {re.sub("_(.)", lambda m: m.group(1).upper(), k): v for k, v in asdict(self).items()}
 
 
+def batch_counters(delta: GraphDelta) -> dict[str, int]:
+    """Rows of a batch as its sources gave them: entities, edges, entities with terms, rejects, dropped edges; one job."""
+    tables = {"entities": delta.entities, "edges": delta.edges, "term_sets": delta.terms.filter(F.size("terms") > 0), "rejected": delta.rejects, "dropped": delta.dropped}
+    ones = [df.select(F.lit(name).alias("name")) for name, df in tables.items() if df is not None]
+    counted = reduce(DataFrame.unionAll, ones).groupBy("name").count().collect()  # a row for each table
+    return dict.fromkeys(tables, 0) | {r["name"]: r["count"] for r in counted}
+
+
 def run_ingest(store: GraphStore, plugin: Plugin | str, options: dict | None = None, log=print) -> IngestResult:
     """Migrate, run the plugin, commit its delta once. A failure leaves the store as it was."""
     store.migrate()
@@ -115,13 +125,13 @@ def run_ingest(store: GraphStore, plugin: Plugin | str, options: dict | None = N
     delta = plugin.run(IngestContext(store.spark, store, dict(options or {}), log))
     if delta is not None:
         store.apply(delta, f"ingest {plugin.name}")
-        for label, rows in (("rejected", delta.rejects), ("dropped edge", delta.dropped)):
-            if rows is not None:
-                n = rows.count()
-                if n:
-                    log(f"{label}: {n}")
-                    for r in rows.limit(20).collect():  # a log has its limit; all rows are in the delta
-                        log("  - " + ", ".join(str(x) for x in r))
+        delta.counters |= batch_counters(delta)
+        log("loaded {entities} entities, {edges} edges, {term_sets} term sets".format(**delta.counters))
+        for label, rows, n in (("rejected", delta.rejects, delta.counters["rejected"]), ("dropped edge", delta.dropped, delta.counters["dropped"])):
+            if n:
+                log(f"{label}: {n}")
+                for r in rows.limit(20).collect():  # a log has its limit; all rows are in the delta
+                    log("  - " + ", ".join(str(x) for x in r.asDict().values() if not isinstance(x, tuple)))
     took = round((time.monotonic() - began) * 1000)
     after = store.read()
     return IngestResult(plugin.name, counts[0], after.entities.count(), counts[1], after.edges.count(), took)

@@ -77,9 +77,10 @@ def scan_hits(entities: DataFrame, keys: list[tuple[str, bool]]) -> DataFrame:
 def build_postings(entities: DataFrame) -> DataFrame:
     """The index: a row per token, record and column with the positions; see ``schema.POSTINGS``.
 
-    Grouped by token *and* record, so that a token of all records makes no hot group.
+    The texts are spread by record, once; the words of a record are then grouped where they are, so no row is
+    moved for each of them, and a token of all records makes no hot group.
     """
-    split = entities.select("id", *[tokens(F.col(c)).alias(f"w{i}") for i, c in enumerate(COLUMNS)])
+    split = entities.repartition("id").select("id", *[tokens(F.col(c)).alias(f"w{i}") for i, c in enumerate(COLUMNS)])
     dl = reduce(lambda a, b: a + b, [F.size(f"w{c}") for c in range(len(COLUMNS))])
     by_column = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"w{c}").alias("w")) for c in range(len(COLUMNS))])
     words = split.select("id", dl.alias("dl"), F.explode(by_column).alias("c"))
@@ -88,10 +89,10 @@ def build_postings(entities: DataFrame) -> DataFrame:
     return rows.select("token", "id", "col", "positions", "dl").to(POSTINGS)
 
 
-def corpus_size(entities: DataFrame) -> DataFrame:
-    """One row ``n, length``: records (those without text too) and their tokens in all."""
+def corpus_size(entities: DataFrame, *by: str) -> DataFrame:
+    """One row ``n, length``, or one for each value of ``by``: records (those without text too) and their tokens in all."""
     dl = reduce(lambda a, b: a + b, [F.size(tokens(F.col(c))) for c in COLUMNS])
-    return entities.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(dl), F.lit(0)).alias("length"))
+    return entities.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(dl), F.lit(0)).alias("length"))
 
 
 def index_hits(postings: DataFrame, keys: list[tuple[str, bool]]) -> DataFrame:

@@ -21,6 +21,9 @@ TERMS = _struct(term=_S, entity_id=_S)
 #: One row per token, record and column; ``positions`` count from 0 within the column, ``dl`` is the length of the record.
 POSTINGS = _struct(token=_S, id=_S, col=T.IntegerType(), positions=T.ArrayType(T.IntegerType()), dl=T.IntegerType())
 
+#: Records of a part of a store and their tokens in all.
+SIZE = _struct(n=T.LongType(), length=T.LongType())
+
 TABLES = {"entities": ENTITIES, "edges": EDGES, "terms": TERMS}
 KEYS = {"entities": ["id"], "edges": ["src", "dst", "relation"], "terms": ["term", "entity_id"]}
 
@@ -29,8 +32,12 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[table])
 
 
+#: Column with the order of the rows of a batch; the last row of a key holds.
+ORDER = "__order"
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """The table's columns in their types; missing ones are null, others are dropped."""
+    """The table's columns in their types, and the order of the batch if it has one; missing ones are null, others are dropped."""
     from pyspark.sql import functions as F
 
     have = set(df.columns)
@@ -38,5 +45,6 @@ def conform(df: DataFrame, table: str) -> DataFrame:
         *[
             (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in TABLES[table].fields
-        ]
+        ],
+        *([ORDER] if ORDER in have else []),
     )

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..schema import conform
 from ..session import path_exists
@@ -73,32 +73,39 @@ def front_matter(content: Column, quotes: bool = False) -> Column:
 
 def read_markdown(spark: SparkSession, root: str, quotes: bool = False, tolerant: bool = True) -> DataFrame:
     """``source_path, values, body`` of all markdown files."""
-    files = read_files(spark, root, "*.md", tolerant)
+    return parse_markdown(read_files(spark, root, "*.md", tolerant), quotes)
+
+
+def parse_markdown(files: DataFrame, quotes: bool = False) -> DataFrame:
     return files.select("source_path", front_matter(F.col("content"), quotes).alias("d")).select("source_path", "d.values", "d.body")
 
 
 def read_manifests(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """Entries ``source_path, entry variant`` of JSON files that hold an array, and rejects ``source_path, reason``."""
-    files = read_files(spark, root, "*.json").withColumn("v", F.try_parse_json("content"))
+    """Entries ``source_path, n, entry variant`` of JSON files that hold an array, and rejects ``source_path, reason``."""
+    return parse_manifests(read_files(spark, root, "*.json"))
+
+
+def parse_manifests(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    files = files.withColumn("v", F.try_parse_json("content"))
     is_array = F.schema_of_variant("v").startswith("ARRAY")
-    entries = files.filter(is_array).select("source_path", F.explode(F.col("v").cast("array<variant>")).alias("entry"))
+    entries = files.filter(is_array).select("source_path", F.posexplode(F.col("v").cast("array<variant>")).alias("n", "entry"))
     reason = F.when(F.col("v").isNull(), "invalid JSON").when(~is_array, "manifest must be a top-level array")
     return entries, files.select("source_path", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def markdown_entries(docs: DataFrame) -> DataFrame:
-    """``source_path, values map<string,string>`` of JSON values, as manifests have them; the body is the value ``body``."""
+    """``source_path, n, values map<string,string>`` of JSON values, as manifests have them; the body is the value ``body``."""
     values = F.transform_values("values", lambda k, v: F.when(v["list"].isNotNull(), F.to_json(v["list"])).otherwise(F.regexp_replace(F.to_json(F.array(v["text"])), r"(?s)^\[(.*)\]$", "$1")))
     body = F.create_map(F.lit("body"), F.regexp_replace(F.to_json(F.array("body")), r"(?s)^\[(.*)\]$", "$1"))
     rest = F.map_filter(values, lambda k, v: k != "body")
-    return docs.select("source_path", F.map_concat(rest, body).alias("values"))
+    return docs.select("source_path", F.lit(0).alias("n"), F.map_concat(rest, body).alias("values"))
 
 
 def manifest_entries(entries: DataFrame) -> DataFrame:
     """As :func:`markdown_entries`; entries that are no object have null values."""
     is_object = F.schema_of_variant("entry").startswith("OBJECT")
     parts = F.when(is_object, F.col("entry")).cast("map<string,variant>")
-    return entries.select("source_path", F.transform_values(parts, lambda k, v: F.to_json(v)).alias("values"))
+    return entries.select("source_path", "n", F.transform_values(parts, lambda k, v: F.to_json(v)).alias("values"))
 
 
 RULES = """source_path string, domain string, version string, created_at string, n int, id string, type string, summary string,
@@ -196,8 +203,9 @@ def read_yaml(spark: SparkSession, root: str) -> DataFrame:
 
 
 def inline(spark: SparkSession, table: str, rows: list[dict]) -> DataFrame:
-    """Rows given as dictionaries; missing columns are null."""
-    from ..schema import TABLES
+    """Rows given as dictionaries, in their order; missing columns are null."""
+    from ..schema import ORDER, TABLES
 
     schema = TABLES[table]
-    return conform(spark.createDataFrame([tuple(r.get(c) for c in schema.names) for r in rows], schema), table)
+    ordered = StructType([*schema.fields, StructField(ORDER, LongType())])
+    return spark.createDataFrame([(*(r.get(c) for c in schema.names), n) for n, r in enumerate(rows)], ordered)

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import keywords
 from ..operators.integrity import split_orphans
-from ..schema import conform, empty
+from ..schema import ORDER, conform, empty
 from . import documents as D
 
 
 @dataclass
 class GraphDelta:
-    """What an ingest adds. ``terms`` has ``entity_id, terms array``; ``touched`` lists ids whose terms are replaced."""
+    """What an ingest adds. ``terms`` has ``entity_id, terms array``: the terms of these entities are replaced.
+
+    Batches carry the order of their sources (schema.ORDER). ``counters`` are filled when the delta has been applied.
+    """
 
     entities: DataFrame
     edges: DataFrame
@@ -48,8 +51,14 @@ def _items(value: Column, scalars: bool) -> Column:
 def field_edges(entries: DataFrame, relations: list[str], scalars: bool) -> DataFrame:
     """``src, dst, relation``: an edge per relation key and target, by unpivoting the values."""
     wanted = F.filter(F.map_entries("values"), lambda e: e["key"].isin(relations))
-    rows = entries.select("id", F.explode(wanted).alias("e"))
-    return rows.select(F.col("id").alias("src"), F.explode(_items(F.col("e.value"), scalars)).alias("dst"), F.col("e.key").alias("relation"))
+    order = [ORDER] if ORDER in entries.columns else []
+    rows = entries.select("id", *order, F.explode(wanted).alias("e"))
+    return rows.select(F.col("id").alias("src"), *order, F.explode(_items(F.col("e.value"), scalars)).alias("dst"), F.col("e.key").alias("relation"))
+
+
+def in_order(entries: DataFrame, *first: Column) -> DataFrame:
+    """Entries with the order of their sources: folder by folder as names sort, and by place within a file."""
+    return entries.withColumn(ORDER, F.struct(*first, F.split("source_path", "/").alias("path"), F.col("n").alias("n")))
 
 
 def residual(values: Column, reserved: list[str]) -> Column:
@@ -68,15 +77,21 @@ def _entities(entries: DataFrame, reserved: list[str]) -> DataFrame:
         value("body").alias("body"),
         residual(F.col("values"), reserved).alias("metadata"),
         "source_path",
+        *([ORDER] if ORDER in entries.columns else []),
     )
 
 
 def markdown_plugin(spark: SparkSession, root: str) -> GraphDelta:
     """Markdown documents with front matter. No id: skipped; no type: ``note``. An unknown edge target is an error at commit."""
-    entries = D.markdown_entries(D.read_markdown(spark, root, tolerant=False)).withColumn("id", _text(F.element_at("values", "id")))
+    return markdown_delta(D.read_markdown(spark, root, tolerant=False))
+
+
+def markdown_delta(docs: DataFrame) -> GraphDelta:
+    """The delta of ``source_path, values, body`` documents."""
+    entries = in_order(D.markdown_entries(docs)).withColumn("id", _text(F.element_at("values", "id")))
     good = entries.filter(F.coalesce("id", F.lit("")) != "").withColumn("type", F.coalesce(_text(F.element_at("values", "type")), F.lit("note")))
     rejects = entries.filter(F.coalesce("id", F.lit("")) == "").select("source_path", F.lit("missing id").alias("reason"))
-    terms = good.select(F.col("id").alias("entity_id"), _items(F.element_at("values", "terms"), False).alias("terms"))
+    terms = good.select(F.col("id").alias("entity_id"), _items(F.element_at("values", "terms"), False).alias("terms"), ORDER)
     reserved = ["id", "type", "name", "body", "terms", *BASIC_RELATIONS]
     return GraphDelta(conform(_entities(good, reserved), "entities"), conform(field_edges(good, BASIC_RELATIONS, False), "edges"), terms, rejects)
 
@@ -90,7 +105,7 @@ def manifest_plugin(spark: SparkSession, root: str, base: DataFrame | None = Non
     docs = D.markdown_entries(D.read_markdown(spark, f"{root}/docs", quotes=True))
     listed, unread = D.read_manifests(spark, f"{root}/manifests")
     entries = docs.withColumn("source", F.lit(0)).unionByName(D.manifest_entries(listed).withColumn("source", F.lit(1)))
-    return entries_delta(entries, unread, base if base is not None else empty(spark, "entities"))
+    return entries_delta(in_order(entries, F.col("source")), unread, base if base is not None else empty(spark, "entities"))
 
 
 def entries_delta(entries: DataFrame, unread: DataFrame, base: DataFrame, types: list[str] = TYPES, relations: list[str] = RELATIONS) -> GraphDelta:
@@ -104,7 +119,8 @@ def entries_delta(entries: DataFrame, unread: DataFrame, base: DataFrame, types:
     rejects = unread.select("source_path", "reason").unionByName(checked.filter(F.col("reason").isNotNull()).select("source_path", "reason"))
     entities = conform(_entities(good, ["id", "type", "name", "body", "terms", *relations]), "entities")
     live, dropped = split_orphans(conform(field_edges(good, relations, True), "edges"), entities, base)
-    terms = good.select(F.col("id").alias("entity_id"), _items(F.element_at("values", "terms"), True).alias("terms"))
+    order = [ORDER] if ORDER in good.columns else []
+    terms = good.select(F.col("id").alias("entity_id"), _items(F.element_at("values", "terms"), True).alias("terms"), *order)
     return GraphDelta(entities, live, terms, rejects, dropped)
 
 
@@ -146,7 +162,11 @@ def yaml_plugin(spark: SparkSession, root: str, only: str | None = None) -> Grap
     An object named by several rules takes the domain of the last file and rule. Overrides of unknown rules are
     an error at commit.
     """
-    files = D.read_yaml(spark, root)
+    return yaml_delta(D.read_yaml(spark, root))
+
+
+def yaml_delta(files: DataFrame) -> GraphDelta:
+    """The delta of ``source_path, content`` rule files."""
     rules = D.parse_rules(files).filter(F.col("id").isNotNull())
     domain = F.coalesce("domain", file_domain(F.col("source_path")))
     kind = F.coalesce("type", F.lit("rule"))
@@ -175,5 +195,5 @@ def yaml_plugin(spark: SparkSession, root: str, only: str | None = None) -> Grap
         edges = edges.unionByName(named.select(F.col("entity_id").alias("src"), "dst", F.lit(relation).alias("relation")))
     states = D.rule_files(files)
     rejects = states.filter(F.col("state") != "ok").select("source_path", F.col("state").alias("reason"))
-    terms = rules.select("entity_id", rule_terms(F.col("domain")).alias("terms"))
+    terms = in_order(rules).select("entity_id", rule_terms(F.col("domain")).alias("terms"), ORDER)
     return GraphDelta(entities, conform(edges.distinct(), "edges"), terms, rejects, clear_empty=True)

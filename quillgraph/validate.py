@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .operators.lookup import json_distinct
 from .operators.integrity import missing_refs
 from .schema import conform
+from .session import path_exists, read_text
 from .sources import documents as D
 from .sources.plugins import GraphDelta
 from .store import GraphStore
@@ -111,11 +112,10 @@ def validate_rules_file(
     store.migrate()
     snapshot = store.read()
     domains = set(known_domains) if known_domains is not None else {r["value"] for r in json_distinct(snapshot.entities, "$.domain").collect()}
-    folder, _, name = path.rpartition("/")
-    files = D.read_files(spark, folder or ".", name, tolerant=False)
-    state = D.rule_files(files).first()
-    if state is None:
+    if not path_exists(spark, path):
         raise FileNotFoundError(path)
+    files = spark.createDataFrame([(path, read_text(spark, path))], D.FILES)  # this file only, whatever its name
+    state = D.rule_files(files).first()
     if state["state"] == "unparsable":
         return ValidateResult(False, [f"error parsing YAML: {state['message']}"], [], _stats())
     if state["state"] == "no rules":

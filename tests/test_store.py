@@ -8,6 +8,7 @@ import types
 import pytest
 
 from quillgraph.cli import main
+from quillgraph.commits import ConflictError
 from quillgraph.facade import KnowledgeGraph
 from quillgraph.ingest import PluginError, coerce_options, load_plugin, resolve_plugin, run_ingest
 from quillgraph.operators.integrity import IntegrityError
@@ -202,6 +203,119 @@ def test_versions(spark, store):
     store.clear_terms(spark.createDataFrame([("a",)], "id string"))
 
 
+def names(store):
+    return {r["id"]: r["name"] for r in store.read().entities.collect()}
+
+
+def test_two_writers_of_one_version(spark, store):
+    """The second to end fails, and what the first wrote stays."""
+    row = lambda id: D.inline(spark, "entities", [{"id": id, "type": "t", "name": id}])
+    with pytest.raises(ConflictError):
+        with store.transaction() as a:
+            a.upsert_entities(row("a"))
+            store.upsert_entities(row("b"))
+    assert names(store) == {"b": "b"}
+    base = store.read()
+    store.upsert_entities(row("c"))
+    with pytest.raises(ConflictError):
+        store.commit(base=base, entities=row("d").drop("__order"))
+    assert names(store) == {"b": "b", "c": "c"}
+
+
+def test_a_transaction_is_one_version(spark, store):
+    words = spark.createDataFrame([("a", ["x"])], "entity_id string, terms array<string>")
+    edge = D.inline(spark, "edges", [{"src": "a", "dst": "b", "relation": "r"}])
+    with store.transaction("both") as t:
+        t.upsert_edges(edge)  # its ends are checked when the transaction ends
+        t.upsert_entities(D.inline(spark, "entities", [{"id": "a", "type": "t", "name": "1"}, {"id": "b", "type": "t", "name": "2"}]))
+        t.add_terms(words)
+        t.upsert_entities(D.inline(spark, "entities", [{"id": "a", "type": "t", "name": "3"}]))
+        assert {r["id"]: r["name"] for r in t.table("entities").collect()} == {"a": "3", "b": "2"}
+    assert [h["note"] for h in store.history()] == ["both"]
+    s = store.read()
+    assert (names(store), s.edges.count(), s.table("edges_by_dst").count(), s.terms.count()) == ({"a": "3", "b": "2"}, 1, 1, 1)
+    with pytest.raises(RuntimeError, match="boom"):
+        with store.transaction() as t:
+            t.delete_entities(spark.createDataFrame([("a",)], "id string"))
+            raise RuntimeError("boom")
+    with pytest.raises(IntegrityError):
+        with store.transaction() as t:
+            t.delete_entities(spark.createDataFrame([("b",)], "id string"))
+            t.upsert_edges(edge)
+    assert store.read().version == 1 and names(store) == {"a": "3", "b": "2"}
+
+
+def test_the_last_of_a_batch_holds(spark, store, tmp_path):
+    rows = [{"id": f"e{n % 3}", "type": "t", "name": str(n)} for n in range(300)]
+    store.upsert_entities(D.inline(spark, "entities", rows).repartition(3))
+    assert names(store) == {"e0": "297", "e1": "298", "e2": "299"}
+    plain = spark.createDataFrame([(r["id"], "t", r["name"]) for r in rows[:10]], "id string, type string, name string")
+    store.upsert_entities(plain)
+    assert names(store) == {"e0": "9", "e1": "7", "e2": "8"}
+    edges = [{"src": "e0", "dst": "e1", "relation": "r", "metadata": json.dumps({"n": n})} for n in range(20)]
+    store.upsert_edges(D.inline(spark, "edges", edges))
+    assert store.read().edges.first()["metadata"] == '{"n": 19}'
+    text = "---\nid: x\ntype: rule\nname: {0}\nterms: [{1}]\n---\n{0}\n"
+    files = {"docs/b.md": text.format("b", ""), "docs/b/a.md": text.format("b/a", "t1"), "docs/a.md": text.format("a", "t0")}
+    files["manifests/m.json"] = [{"id": "y", "type": "rule", "name": "1"}, {"id": "y", "type": "rule", "name": "2", "terms": ["k"]}, {"id": "y", "type": "rule", "name": "3"}]
+    root = write(tmp_path / "kb", files)
+    run_ingest(store, plugin(lambda ctx: P.manifest_plugin(ctx.spark, root)), log=lambda x: None)
+    got = names(store)
+    assert (got["x"], got["y"]) == ("b", "3")  # a folder comes before a file that begins like it
+    assert {tuple(r) for r in store.read().terms.collect()} == {("t1", "x"), ("k", "y")}  # the last that has terms
+
+
+def test_a_small_write_rewrites_its_part_only(spark, store):
+    rows = [{"id": f"e{n}", "type": "t", "name": str(n)} for n in range(100)]
+    store.upsert_entities(D.inline(spark, "entities", rows))
+    before = store.read().manifest["tables"]
+    store.upsert_entities(D.inline(spark, "entities", [{"id": "e7", "type": "t", "name": "siete"}]))
+    after = store.read().manifest["tables"]
+    assert len(before["entities"]) == store.parts
+    for table in ("entities", "postings", "size"):
+        assert sum(after[table][p] != before[table][p] for p in before[table]) == 1
+    kg = KnowledgeGraph(store)
+    assert kg.kb_find("siete")["count"] == 1 and kg.kb_find("7")["count"] == 0 and kg.kb_find("8")["count"] == 1
+    assert store.read().size.first() == (100, 100)
+    assert store.vacuum() > 0 and names(store)["e7"] == "siete" and kg.kb_find("99")["count"] == 1
+    assert store.vacuum() == 0
+
+
+def test_migrations_of_a_folder(spark, store, tmp_path):
+    store.migrate()
+    store.upsert_entities(D.inline(spark, "entities", [{"id": "a", "type": "old", "name": "uno"}]))
+    folder = write(tmp_path / "m", {
+        "0002_types.sql": "REPLACE entities AS SELECT id, 'new' AS type, name, body, metadata, source_path, updated_at FROM {entities};\nREPLACE terms AS SELECT 'k' AS term, id AS entity_id FROM {entities};\n",
+        "0003_bad.sql": "REPLACE terms AS SELECT 'k' AS term, 'ghost' AS entity_id;",
+        "sub/0004_x.sql": "", "note.txt": "x", "0005.sql": "x",
+    })
+    with pytest.raises(IntegrityError):
+        store.migrate(folder)
+    assert [m["filename"] for m in store.migrations()] == ["0001_init.sql", "0002_types.sql"]
+    assert store.read().entities.first()["type"] == "new" and [tuple(r) for r in store.read().terms.collect()] == [("k", "a")]
+    (tmp_path / "m" / "0003_bad.sql").write_text("DROP TABLE terms;")
+    with pytest.raises(ValueError):
+        store.migrate(folder)
+    (tmp_path / "m" / "0003_bad.sql").write_text("")
+    assert [m["id"] for m in store.migrate(folder)] == ["0001", "0002", "0003"]
+
+
+def test_validation_reads_the_named_file_only(spark, store, tmp_path):
+    path = write(tmp_path / "v", {"a.yaml": "metadata: {domain: d, version: 1, created_at: x}\nrules: []\n", "sub/a.yaml": RULES, "a[1].yaml": RULES})
+    assert validate_rules_file(store, f"{path}/a.yaml").valid
+    assert validate_rules_file(store, f"{path}/a[1].yaml").stats["totalRules"] == 4
+    with pytest.raises(FileNotFoundError):
+        validate_rules_file(store, f"{path}/none.yaml")
+
+
+def test_counters_of_a_batch(spark, store, tmp_path):
+    root = write(tmp_path / "docs", BASIC)
+    delta, log = P.markdown_plugin(spark, root), []
+    run_ingest(store, plugin(lambda ctx: delta), log=log.append)
+    assert delta.counters == {"entities": 3, "edges": 3, "term_sets": 3, "rejected": 1, "dropped": 0}
+    assert log[0] == "loaded 3 entities, 3 edges, 3 term sets" and log[1] == "rejected: 1"
+
+
 def test_migration_files():
     assert migration_files(["0002_b.sql", "0001_a.sql", "x.sql", "1_a.sql", "0003.sql"]) == [("0001", "0001_a.sql"), ("0002", "0002_b.sql")]
 

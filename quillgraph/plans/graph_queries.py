@@ -164,9 +164,10 @@ def _(g):
     return G.outgoing(g.edges, g.start())
 
 
-@_query("outgoing_relation", "SELECT * FROM G WHERE src = (SELECT id FROM S) AND relation = 'cites'")
+@_query("outgoing_relation", "SELECT * FROM G WHERE src = (SELECT id FROM S) AND relation = (SELECT min(relation) FROM G WHERE src = (SELECT id FROM S))")
 def _(g):
-    return G.outgoing(g.edges, g.start(), "cites")
+    start = g.start()
+    return G.outgoing(g.edges, start, G.outgoing(g.edges, start).agg(F.min("relation")).first()[0])
 
 
 _HUB = "module:nucleo-logistico"
@@ -239,19 +240,21 @@ def _(g):
 _GONE = "(SELECT entity_id FROM deletions WHERE entity_id IS NOT NULL)"
 
 
-@_query("delete_cascade", f"""SELECT 'entities' AS kept, count(*) AS n FROM E WHERE id NOT IN {_GONE}
-    UNION ALL SELECT 'edges', count(*) FROM G WHERE src NOT IN {_GONE} AND dst NOT IN {_GONE}
-    UNION ALL SELECT 'terms', count(*) FROM T WHERE entity_id NOT IN {_GONE}""")
+@_query("delete_cascade", f"""SELECT 'entities' AS kept, id AS key FROM E WHERE id NOT IN {_GONE}
+    UNION ALL SELECT 'edges', concat_ws(' ', src, relation, dst) FROM G WHERE src NOT IN {_GONE} AND dst NOT IN {_GONE}
+    UNION ALL SELECT 'terms', concat_ws(' ', term, entity_id) FROM T WHERE entity_id NOT IN {_GONE}""")
 def _(g):
-    kept = M.delete_entities(g.entities, g.edges, g.terms, g.raw["deletions"].select(F.col("entity_id").alias("id")))
-    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("kept"), "n") for n, df in zip(("entities", "edges", "terms"), kept)]
-    return counts[0].unionAll(counts[1]).unionAll(counts[2])
+    entities, edges, terms = M.delete_entities(g.entities, g.edges, g.terms, g.raw["deletions"].select(F.col("entity_id").alias("id")))
+    kept = entities.select(F.lit("entities").alias("kept"), F.col("id").alias("key"))
+    kept = kept.unionAll(edges.select(F.lit("edges"), F.concat_ws(" ", "src", "relation", "dst")))
+    return kept.unionAll(terms.select(F.lit("terms"), F.concat_ws(" ", "term", "entity_id")))
 
 
-@_query("term_add_idempotent", "SELECT term, entity_id FROM T UNION SELECT DISTINCT lower(term), entity_id FROM terms WHERE entity_id <> '' AND term <> ''")
+@_query("term_add_idempotent", "SELECT term, entity_id FROM T UNION SELECT lower(t), id FROM (SELECT id, unnest(terms) AS t FROM components) WHERE t IS NOT NULL UNION SELECT lower(name), id FROM E WHERE name IS NOT NULL")
 def _(g):
-    again = g.raw["terms"].filter((F.col("entity_id") != "") & (F.col("term") != "")).select("entity_id", F.array("term").alias("terms"))
-    return M.add_terms(g.terms, again)
+    """New terms of components, repeated ones too, and those of records that may have them already."""
+    words = g.raw["components"].select(F.col("id").alias("entity_id"), "terms").unionAll(g.entities.select("id", F.array("name")))
+    return M.add_terms(g.terms, words)
 
 
 @_query("term_clear", "SELECT * FROM T WHERE entity_id NOT IN (SELECT id FROM E WHERE type = 'rule')")
@@ -380,7 +383,7 @@ def _(g):
 
 def _front(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents").select("doc_id", D.front_matter(F.col("text")).alias("m")).filter(F.size("m.values") > 0)
-    return docs.select("doc_id", F.size("m.values").cast("bigint").alias("n_keys"), F.length("m.body").cast("bigint").alias("body_chars"))
+    return docs.select("doc_id", F.array_join(F.array_sort(F.map_keys("m.values")), " ").alias("keys"), F.md5("m.body").alias("body"))
 
 
 QUERIES["frontmatter_parse"] = _front
@@ -388,7 +391,7 @@ ORACLE_SQL["frontmatter_parse"] = r"""
     WITH parts AS (SELECT doc_id, regexp_extract(text, '(?s)^---[ \t\r\n\f]*?\n(.*?)\n---[ \t\r\n\f]*?\n(.*)$', ['head', 'body']) AS p FROM documents
                    WHERE regexp_matches(text, '(?s)^---[ \t\r\n\f]*?\n(.*?)\n---[ \t\r\n\f]*?\n(.*)$')),
     keys AS (SELECT doc_id, p.body AS body, list_distinct(list_transform(list_filter(regexp_split_to_array(p.head, '\r?\n'), lambda x: regexp_matches(x, '^[\w.-]+:')), lambda x: regexp_extract(x, '^([\w.-]+):', 1))) AS k FROM parts)
-    SELECT doc_id, len(k) AS n_keys, length(trim(body, E' \t\r\n')) AS body_chars FROM keys WHERE len(k) > 0"""
+    SELECT doc_id, array_to_string(list_sort(k), ' ') AS keys, md5(trim(body, E' \t\r\n')) AS body FROM keys WHERE len(k) > 0"""
 
 
 # full text
@@ -416,25 +419,14 @@ def _find_sql(tfs: list, where: str, score: list[int] | None = None, limit: str
       SELECT {columns}, round(-({total}), 10) AS rank FROM Q, Z WHERE {where} {type_} {limit}"""
 
 
-def _find(name: str, query: str, sql: str, **options):
-    @_query(name, sql)
-    def _(g):
-        found = search(g.entities, query, limit=options.get("limit", -1), type=options.get("type"), with_snippet=False)
-        return found.select("id", F.round("rank", 10).alias("rank"))
-
-
 _is = "w[i] = '{}'".format
-_find("find_term", "pallet", _find_sql([_tf(_is("pallet"))], "tf0 > 0", limit="ORDER BY rank, id LIMIT 20"), limit=20)
-_find("find_typed", "rampa", _find_sql([_tf(_is("rampa"))], "tf0 > 0", type_="AND type = 'rule'"), type="rule")
-_find("find_and", "rampa cámara", _find_sql([_tf(_is("rampa")), _tf(_is("camara"))], "tf0 > 0 AND tf1 > 0"))
-_find("find_or", "Palé OR pallet", _find_sql([_tf(_is("pale")), _tf(_is("pallet"))], "tf0 > 0 OR tf1 > 0"))
-_find("find_not", "flota NOT carga", _find_sql([_tf(_is("flota")), _tf(_is("carga"))], "tf0 > 0 AND tf1 = 0", [0]))
-_find("find_prefix", "romane*", _find_sql([_tf("starts_with(w[i], 'romane')")], "tf0 > 0"))
-_find("find_phrase", '"salvo los feriados"', _find_sql([_tf("w[i] = 'salvo' AND w[i + 1] = 'los' AND w[i + 2] = 'feriados'", size=3)], "tf0 > 0"))
 _near = "w[i] = '{}' AND list_contains(w[greatest(1, i - 4):i + 4], '{}')".format
-_find("find_near", "NEAR(rampa flota, 3)", _find_sql([(_tf(_near("rampa", "flota")), _tf(_is("rampa"))), (_tf(_near("flota", "rampa")), _tf(_is("flota")))], "tf0 > 0 AND tf1 > 0"))
-_find("find_column", "name : carga", _find_sql([_tf(_is("carga"), (0,))], "tf0 > 0"))
-_find("find_initial", "body : ^cada", _find_sql([_tf("i = 1 AND w[i] = 'cada'", (1,))], "tf0 > 0"))
+
+
+@_query("find_scan", _find_sql([(_tf(_near("rampa", "flota")), _tf(_is("rampa"))), (_tf(_near("flota", "rampa")), _tf(_is("flota")))], "tf0 > 0 AND tf1 > 0"))
+def _(g):
+    """Without an index, over the texts."""
+    return search(g.entities, "NEAR(rampa flota, 3)", limit=-1, with_snippet=False).select("id", F.round("rank", 10).alias("rank"))
 
 
 @_query("find_index", _find_sql([_tf(_is("rampa")), _tf(_is("muelle"))], "tf0 > 0 OR tf1 > 0"))

@@ -47,7 +47,7 @@ def test_search_over_the_index_reads_its_tokens(spark, small, tmp_path):
     assert "Or(EqualTo(token,aa),EqualTo(token,bb))" in plan(df)
 
 
-JVM_ONLY = ["count_by_type", "by_term", "related", "edge_upsert", "fk_violations", "orphan_edges", "upsert_last_wins", "find_near", "find_index", "rule_schema_issues", "metadata_residual", "frontmatter_parse"]
+JVM_ONLY = ["count_by_type", "by_term", "related", "edge_upsert", "fk_violations", "orphan_edges", "upsert_last_wins", "find_scan", "find_index", "rule_schema_issues", "metadata_residual", "frontmatter_parse"]
 
 
 @pytest.mark.parametrize("name", JVM_ONLY)

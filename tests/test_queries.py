@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from quillgraph.plans import graph_queries, problems
+from quillgraph.plans import graph_queries, problems, service_queries
 
 from .compare import check
 
@@ -12,6 +12,11 @@ def test_graph_query(spark, small, name):
     check(spark, small, graph_queries, name)
 
 
+@pytest.mark.parametrize("name", list(service_queries.QUERIES))
+def test_service_query(spark, small, name):
+    check(spark, small, service_queries, name)
+
+
 @pytest.mark.parametrize("name", list(problems.QUERIES))
 def test_problem_query(spark, small, name):
     check(spark, small, problems, name)

@@ -259,17 +259,22 @@ def repeated_by_record(sketches: DataFrame, repeated: DataFrame) -> DataFrame:
     return rows.mapInArrow(resolve, f"doc_id {records.elementType.simpleString()}, hashes binary")
 
 
+#: Digests: of a window, of a window with what stands beside it, of a stretch over a window; two columns each.
+_K, _C, _S = ["k1", "k2"], ["c1", "c2"], ["s1", "s2"]
+
+
 def candidate_windows(documents: DataFrame, wanted: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """Second pass: ``doc_id, k, c, left, right, places`` of the windows estimated as repeated.
+    """Second pass: ``doc_id, k1, k2, c1, c2, left, right, places`` of the windows estimated as repeated.
 
-    ``left`` and ``right`` are up to ``span - gram`` characters beside the window. ``k`` is the digest of the window, ``c``
-    that of the window with these. Equal rows of a record (in a run of one character) come out once, with all their places.
+    ``left`` and ``right`` are up to ``span - gram`` characters beside the window. ``k1, k2`` is the digest of the window,
+    ``c1, c2`` that of the window with these. Equal rows of a record (in a run of one character) come out once, with all their places.
     """
     reach = span - gram
-    names = ["doc_id", "k", "c", "left", "right", "places"]
+    names = ["doc_id", *_K, *_C, "left", "right", "places"]
 
-    def digest(text: str) -> bytes:
-        return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    def digests(texts: Iterator[str]) -> list[pa.Array]:
+        packed = b"".join(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in texts)
+        return [pa.array(x) for x in np.frombuffer(packed, np.int64).reshape(-1, 2).T]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,13 +288,18 @@ def candidate_windows(documents: DataFrame, wanted: DataFrame, span: int = SPAN,
                     for at in place[a:b][np.isin(h[a:b], lists[i])].tolist():
                         mine.setdefault((i, text[at : at + gram], text[max(0, at - reach) : at], text[at + gram : at + gram + reach]), set()).add(at)
             index, window, left, right = zip(*mine) if mine else [()] * 4
-            k, c = [digest(x) for x in window], [digest(f"{len(a)} {a}{x}{b}") for x, a, b in zip(window, left, right)]
-            columns = [batch.column(0).take(pa.array(index, pa.int64())), *(pa.array(x, pa.binary()) for x in (k, c)), *(pa.array(x, pa.string()) for x in (left, right))]
+            columns = [batch.column(0).take(pa.array(index, pa.int64())), *digests(window), *digests(f"{len(a)} {a}{x}{b}" for x, a, b in zip(window, left, right))]
+            columns += [pa.array(x, pa.string()) for x in (left, right)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([sorted(x) for x in mine.values()], pa.list_(pa.int32()))], names=names)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     read = documents.select("doc_id", "text").join(wanted, "doc_id")
-    return read.select("doc_id", "text", "hashes").mapInArrow(find, f"doc_id {kind}, k binary, c binary, left string, right string, places array<int>")
+    return read.select("doc_id", "text", "hashes").mapInArrow(find, f"doc_id {kind}, k1 bigint, k2 bigint, c1 bigint, c2 bigint, left string, right string, places array<int>")
+
+
+def _set_hash(*members: str) -> list:
+    """Two columns that are equal for equal sets of distinct members."""
+    return [F.bit_xor(F.xxhash64(*members)).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), *members)).alias("y")]
 
 
 class _Shared:
@@ -304,21 +314,21 @@ class _Shared:
         self.rows = materialize(candidate_windows(documents, wanted, span, gram), "windows")
         # Windows with what stands beside them: reach to both sides, and the least and the greatest record that has them.
         reached = F.max(F.length("left")).alias("l"), F.max(F.length("right")).alias("r")
-        beside = self.rows.groupBy("k", "c").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), *reached)
+        beside = self.rows.groupBy(*_K, *_C).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), *reached)
         beside = materialize(beside, "beside").filter(F.col("l") + F.col("r") >= reach)
-        self.whole = beside.filter(F.col("a") != F.col("b")).select("c", "l", "r")
+        self.whole = beside.filter(F.col("a") != F.col("b")).select(*_C, "l", "r")
         several = (F.count(F.lit(1)) > 1) & (F.min("a") != F.max("b"))
-        differ = beside.groupBy("k").agg(several.alias("differ")).filter("differ").select("k")
-        over = beside.join(differ, "k").select("k", "c", "a", "b")
-        texts = self.rows.select("c", "left", "right").join(over.select("c"), "c", "left_semi").dropDuplicates(["c"])
+        differ = beside.groupBy(*_K).agg(several.alias("differ")).filter("differ").select(*_K)
+        over = beside.join(differ, _K).select(*_K, *_C, "a", "b")
+        texts = self.rows.select(*_C, "left", "right").join(over.select(*_C), _C, "left_semi").dropDuplicates(_C)
         lengths = F.sequence(F.greatest(F.lit(0), reach - F.length("right")), F.least(F.lit(reach), F.length("left")))
-        over = over.join(texts, "c").select("*", F.explode(lengths).alias("l"))
-        stretch = F.concat(F.hex("k"), F.lit(" "), "l", F.lit(" "), F.expr(f"concat(right(left, l), left(right, {reach} - l))"))
-        over = materialize(over.select("k", "c", "a", "b", "l", F.unhex(F.md5(stretch)).alias("s")), "over")
-        signature = F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "c")).alias("y")
-        common = over.groupBy("s").agg(F.count(F.lit(1)).alias("n"), several.alias("several"), *signature)
-        common = common.filter("several").select("s", "n", "x", "y")
-        self.parts = materialize(over.join(common, "s").select("k", "c", "l", "s", "n", "x", "y"), "stretches")
+        over = over.join(texts, _C).select("*", F.explode(lengths).alias("l"))
+        stretch = F.expr(f"concat(right(left, l), left(right, {reach} - l))")
+        digest = F.xxhash64(*_K, "l", stretch).alias("s1"), F.xxhash64(F.lit(7), stretch, "l", *_K).alias("s2")
+        over = materialize(over.select(*_C, "a", "b", "l", *digest), "over")
+        common = over.groupBy(*_S).agg(F.count(F.lit(1)).alias("n"), several.alias("several"), *_set_hash(*_C))
+        common = common.filter("several").select(*_S, "n", "x", "y")
+        self.parts = materialize(over.join(common, _S).select(*_C, "l", *_S, "n", "x", "y"), "stretches")
 
 
 def shared_classes(documents: DataFrame, materialize, span: int = SPAN, gram: int = GRAM, slice_size: int = SLICE, cells: int = CELLS) -> DataFrame:
@@ -330,14 +340,15 @@ def shared_classes(documents: DataFrame, materialize, span: int = SPAN, gram: in
     """
     s = _Shared(documents, materialize, span, gram, slice_size, cells)
     # Neighbouring stretches over a window mostly have the same members.
-    one = s.parts.groupBy("k", "n", "x", "y").agg(F.min("s").alias("s")).select("s")
-    held = s.whole.select("c", F.col("c").alias("class_id")).unionByName(s.parts.join(one, "s").select("c", F.col("s").alias("class_id")))
-    members = held.join(s.rows.select("c", "doc_id"), "c").select("class_id", "doc_id").distinct()
+    one = s.parts.select("n", "x", "y", *_S).dropDuplicates(["n", "x", "y"]).select(*_S)
+    ids = ["i1", "i2"]
+    named = lambda columns: [F.col(c).alias(i) for c, i in zip(columns, ids)]
+    held = s.whole.select(*_C, *named(_C)).unionByName(s.parts.join(one, _S).select(*_C, *named(_S)))
+    members = held.join(s.rows.select(*_C, "doc_id"), _C).select(*ids, "doc_id").distinct()
     members = materialize(members, "members")
-    key = F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "doc_id")).alias("y")
-    sets = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), *key)
-    kept = sets.groupBy("n", "x", "y").agg(F.min("class_id").alias("class_id")).select("class_id")
-    return members.join(kept, "class_id").select(F.hex("class_id").alias("class_id"), "doc_id")
+    sets = members.groupBy(*ids).agg(F.count(F.lit(1)).alias("n"), *_set_hash("doc_id"))
+    kept = sets.dropDuplicates(["n", "x", "y"]).select(*ids)
+    return members.join(kept, ids).select(F.concat(F.hex("i1"), F.lit("-"), F.hex("i2")).alias("class_id"), "doc_id")
 
 
 def shared_pairs(classes: DataFrame) -> DataFrame:
@@ -354,9 +365,9 @@ def shared_shares(documents: DataFrame, materialize, span: int = SPAN, gram: int
     """
     s = _Shared(documents, materialize, span, gram, slice_size, cells)
     # The stretches over a window all hold it, so together they are one, from the farthest left to the farthest right.
-    part = s.parts.select("c", "l", (F.lit(s.reach) - F.col("l")).alias("r"))
-    reached = s.whole.unionByName(part).groupBy("c").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    found = s.rows.select("doc_id", "c", "places").join(reached, "c").select("doc_id", "l", "r", F.explode("places").alias("at"))
+    part = s.parts.select(*_C, "l", (F.lit(s.reach) - F.col("l")).alias("r"))
+    reached = s.whole.unionByName(part).groupBy(*_C).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    found = s.rows.select("doc_id", *_C, "places").join(reached, _C).select("doc_id", "l", "r", F.explode("places").alias("at"))
     parts = found.select("doc_id", (F.col("at") - F.col("l")).alias("start"), (F.col("at") + gram + F.col("r")).alias("end")).distinct()
     before = F.max("end").over(Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0))))

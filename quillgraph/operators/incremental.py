@@ -23,7 +23,7 @@ from ..commits import CommitLog
 
 CONTENT = ["type", "name", "body", "metadata"]
 STATE = "struct<updated_at: timestamp_ntz, fp: binary>"
-#: Parts of the state.
+#: Parts of the state; a run is folded by at most so many tasks.
 PARTS = 64
 
 
@@ -59,11 +59,12 @@ def successful(runs: DataFrame) -> DataFrame:
 
 
 def run_slots(runs: DataFrame, marks: DataFrame):
-    """Pending runs as the intervals ``(after, upper]`` they take, one row per day an interval touches, and ``first``.
+    """Pending runs as the intervals ``(after, upper]`` they take, one row per day an interval touches, and their bounds.
 
     ``marks`` has ``root, mark, mark_run``: the last run taken of each root. Earlier runs of the log are done; rows of
-    a run that is logged late were taken by the next one. ``first`` is the day of the earliest pending run: all rows
-    landed before it belong to that day's slot. The day makes the as-of lookup an equi-join; a day holds only the
+    a run that is logged late were taken by the next one. The bounds are ``first``, the day of the earliest pending run (all rows landed
+    before it belong to that day's slot), ``low``, after which all rows to take have landed (null if some root has no run
+    before), and ``high``, the last upper limit. The day makes the as-of lookup an equi-join; a day holds only the
     runs of that day and the next one.
     """
     order = Window.partitionBy("source_root").orderBy("started_at", "run_id")
@@ -71,14 +72,21 @@ def run_slots(runs: DataFrame, marks: DataFrame):
     later = F.struct("started_at", "run_id") > F.struct(F.col("mark").alias("started_at"), F.col("mark_run").alias("run_id"))
     ok = ok.filter(F.col("mark").isNull() | later)
     ok = ok.withColumn("after", F.coalesce(F.lag("started_at").over(order), "mark")).withColumn("k", F.row_number().over(order))
-    first = ok.agg(F.min(F.to_date("started_at")).alias("d")).first()["d"]
+    low = F.when(F.count_if(F.col("after").isNull()) == 0, F.min("after"))
+    bounds = ok.agg(F.min(F.to_date("started_at")).alias("first"), low.alias("low"), F.max("started_at").alias("high")).first()
+    first = bounds["first"]
     days = F.sequence(F.greatest(F.coalesce(F.to_date("after"), F.lit(first)), F.lit(first)), F.to_date("started_at"))
-    return ok.select(F.col("root").alias("run_root"), "run_id", "k", "after", F.col("started_at").alias("upper"), F.explode(days).alias("day")), first
+    return ok.select(F.col("root").alias("run_root"), "run_id", "k", "after", F.col("started_at").alias("upper"), F.explode(days).alias("day")), bounds
 
 
-def best_rows(marked: DataFrame, slots: DataFrame, first) -> DataFrame:
-    """``root, id, k, run_id, best``: the best row of each id among those a run takes."""
-    marked = marked.withColumn("day", F.greatest(F.to_date("seq"), F.lit(first)))
+def best_rows(rows: DataFrame, slots: DataFrame, bounds) -> DataFrame:
+    """``root, id, k, run_id, best``: the best row of each id among those a run takes. The bounds reach the scan of ``rows``."""
+    seq, kind = F.col("landed_at"), rows.schema["landed_at"].dataType
+    at = lambda bound: F.lit(str(bounds[bound])).cast(kind)
+    rows = rows.filter(seq <= at("high"))
+    if bounds["low"] is not None:
+        rows = rows.filter(seq > at("low"))
+    marked = fingerprinted(rows).withColumn("day", F.greatest(F.to_date("seq"), F.lit(bounds["first"])))
     taken = marked.join(
         slots,
         (marked["root"] == slots["run_root"])
@@ -90,15 +98,16 @@ def best_rows(marked: DataFrame, slots: DataFrame, first) -> DataFrame:
 
 
 def fold(best: DataFrame) -> DataFrame:
-    """``root, id, run_id, change, state``: per run, whether an id is ``new``, ``changed`` or null; ``state`` in the last row only.
+    """``part, root, id, run_id, change, state``: per run, whether an id is ``new``, ``changed`` or null; ``state`` in the last row only.
 
-    Rows with ``k`` 0 are the state before; they are no run.
+    Rows with ``k`` 0 are the state before; they are no run. Rows are moved by part, so each part is written by one task.
     """
-    over = Window.partitionBy("root", "id").orderBy("k")
+    over = Window.partitionBy("part", "root", "id").orderBy("k")
+    best = best.repartition("part")
     state = best.withColumn("now", F.max("best").over(over.rowsBetween(Window.unboundedPreceding, 0)))
     state = state.withColumn("before", F.lag("now").over(over)).withColumn("last", F.lead("k").over(over).isNull())
     change = F.when(F.col("k") == 0, None).when(F.col("before").isNull(), "new").when(F.col("before.fp") != F.col("now.fp"), "changed")
-    out = state.select("root", "id", "run_id", change.alias("change"), F.when(F.col("last"), F.col("now")).alias("state"))
+    out = state.select("part", "root", "id", "run_id", change.alias("change"), F.when(F.col("last"), F.col("now")).alias("state"))
     return out.filter(F.col("change").isNotNull() | F.col("state").isNotNull())
 
 
@@ -133,19 +142,19 @@ class IncrementalRunner:
         out.
         """
         last = self.log.latest() or {"n": 0, "marks": {}, "state": {}}
-        slots, first = run_slots(runs, self._marks(last))
-        if first is None:
+        slots, bounds = run_slots(runs, self._marks(last))
+        if bounds["first"] is None:
             return self.spark.createDataFrame([], "run_id bigint, id string, change string")
         part = F.pmod(F.xxhash64("id"), F.lit(self.parts)).cast("int")
         home = f"{self.base}/data/{uuid.uuid4().hex}"
-        best = best_rows(fingerprinted(rows), slots, first)
+        best = best_rows(rows, slots, bounds).withColumn("part", part)
         if last["state"]:
-            best.withColumn("part", part).write.parquet(f"{home}/taken")
+            best.write.parquet(f"{home}/taken")
             taken = self.spark.read.parquet(f"{home}/taken")
             touched = taken.agg(F.collect_set("part")).first()[0]  # at most self.parts numbers
             old = self._state(last, touched)
-            best = taken.drop("part") if old is None else taken.drop("part").unionByName(old)
-        fold(best).withColumn("part", part).write.partitionBy("part").parquet(f"{home}/out")
+            best = taken if old is None else taken.unionByName(old.withColumn("part", part))
+        fold(best).write.partitionBy("part").parquet(f"{home}/out")
         names = [s.getPath().getName() for s in self.log._fs.listStatus(self.log._path(f"{home}/out"))]
         written = {n.removeprefix("part="): f"{home}/out/{n}" for n in names if n.startswith("part=")}
         ends = slots.groupBy("run_root").agg(F.max(F.struct("upper", "run_id")).alias("m"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..session import materialize, materialize_counted
 
 MAX_DEPTH = 10
+#: Nodes of a level whose edges are read by their keys; the edges of more are found by a join.
+LOOKUP = 1000
 
 
 def outgoing(edges: DataFrame, src: str, relation: str | None = None) -> DataFrame:
@@ -40,8 +42,8 @@ def traverse(
     that found it first: edges are ordered by their source's place, then relation, then target. ``place`` is
     the chain of relations and ids that leads to a node, so ordering by depth and place gives the walk's order
     without numbering the rows. Targets without an entity are neither returned nor followed. An unknown start
-    gives no rows. At most ``max_depth`` jobs; each joins the frontier with the edges, and an empty frontier
-    ends the walk.
+    gives no rows. A walk of several levels sorts the edges to entities by source once; a level then reads only the
+    row groups with edges of its nodes, while these are at most LOOKUP, and all edges beyond. An empty level ends the walk.
     """
     if isinstance(max_depth, bool) or not isinstance(max_depth, int) or max_depth < 0:
         raise ValueError("max_depth must be a whole number, 0 or more")
@@ -51,17 +53,24 @@ def traverse(
     level = ids.filter(F.col("id") == start).limit(1)
     level = level.select("id", F.lit(0).alias("depth"), none.alias("relation"), F.array().cast("array<string>").alias("place"))
     level, n = materialize_counted(level, "walk")
-    if n and max_depth > 1:  # edges and ids are read once per level
-        followed, ids = materialize(followed, "edges"), materialize(ids, "ids")
+    several = n and max_depth > 1
+    if several:
+        followed = followed.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "relation")
+        followed = materialize(followed.repartitionByRange("src", "dst").sortWithinPartitions("src"), "edges")
     levels = [level]
     for depth in range(1, max_depth + 1):
         if not n:
             break
-        steps = followed.join(level.select(F.col("id").alias("src"), "place"), "src")
+        near = followed
+        if several and n <= LOOKUP:
+            near = followed.filter(F.col("src").isin([r["id"] for r in level.select("id").collect()]))
+        steps = near.join(level.select(F.col("id").alias("src"), "place"), "src")
         # the edge that comes first, per target: combined map-side, so a hot target is one row per task
         best = steps.groupBy("dst").agg(F.min(F.struct("place", "relation")).alias("via")).withColumnRenamed("dst", "id")
         seen = reduce(DataFrame.unionByName, levels).select("id")
-        fresh = best.join(seen, "id", "left_anti").join(ids, "id", "left_semi")
+        fresh = best.join(seen, "id", "left_anti")
+        if not several:
+            fresh = fresh.join(ids, "id", "left_semi")
         place = F.concat("via.place", F.array("via.relation", "id")).alias("place")
         level, n = materialize_counted(fresh.select("id", F.lit(depth).alias("depth"), F.col("via.relation").alias("relation"), place), "walk")
         levels.append(level)

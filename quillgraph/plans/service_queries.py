@@ -13,6 +13,7 @@ import json
 import os
 import types
 import zlib
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,14 +108,14 @@ def _page(m: dict) -> str:
     return f"---\nid: {m['id']}\ntype: {m['type']}\nname: {m['name']}\nowner: {m['owner']}\nterms: [{m['owner']}, {m['name']}, ]\ndepends_on: x\n{cites}---\n\n{m['body'] or ''}\n"
 
 
-def _pages(spark: SparkSession, d: str) -> str:
+def module_pages(spark: SparkSession, d: str) -> str:
     files = {f"{m['owner']}/{m['name']}.md": _page(m) for m in _modules(spark, d)}
     return _write(spark, work_path(spark, "pages"), files | {"frio/other.txt": "---\nid: x\n---\n", "readme.md": "no front matter"})
 
 
-def _module_store(spark: SparkSession, d: str, log=lambda x: None) -> tuple[GraphStore, dict, P.GraphDelta]:
+def module_store(spark: SparkSession, d: str, log=lambda x: None) -> tuple[GraphStore, dict, P.GraphDelta]:
     """A new store with the modules, ingested from markdown; the result and the delta."""
-    delta = P.markdown_plugin(spark, _pages(spark, d))
+    delta = P.markdown_plugin(spark, module_pages(spark, d))
     store = GraphStore(spark, work_path(spark, "store"), lambda: CLOCK, parts=4)
     result = run_ingest(store, types.SimpleNamespace(name="pages", run=lambda ctx: delta), log=log)
     return store, result.as_dict(), delta
@@ -125,7 +126,7 @@ def _module_store(spark: SparkSession, d: str, log=lambda x: None) -> tuple[Grap
 
 @_query("source_markdown", "SELECT id, type, name, owner, owner || ' ' || name AS terms, coalesce(trim(body, E' \\t\\r\\n'), '') AS body FROM modules")
 def _(spark, d):
-    docs = D.read_markdown(spark, _pages(spark, d), tolerant=False).filter(F.size("values") > 0)
+    docs = D.read_markdown(spark, module_pages(spark, d), tolerant=False).filter(F.size("values") > 0)
     text = lambda k: F.element_at("values", k)["text"].alias(k)
     return docs.select(text("id"), text("type"), text("name"), text("owner"), F.array_join(F.element_at("values", "terms")["list"], " ").alias("terms"), "body")
 
@@ -184,7 +185,7 @@ def _(spark, d):
     f"WITH {_COMPONENTS} SELECT 0 AS source, id, name FROM modules UNION ALL SELECT 1, id, name FROM C WHERE type IS NOT NULL AND stability IS NOT NULL",
 )
 def _(spark, d):
-    docs = D.markdown_entries(D.read_markdown(spark, _pages(spark, d))).withColumn("source", F.lit(0))
+    docs = D.markdown_entries(D.read_markdown(spark, module_pages(spark, d))).withColumn("source", F.lit(0))
     listed = D.manifest_entries(D.parse_manifests(_manifest_files(Graph(spark, d)))[0]).withColumn("source", F.lit(1))
     value = lambda k: P._text(F.element_at("values", k)).alias(k)
     return docs.unionByName(listed).select("source", value("id"), value("name")).filter(F.col("id").isNotNull())
@@ -346,7 +347,7 @@ def _(spark, d):
 )
 def _(spark, d):
     """The hub goes with its edges and terms; a new record cites all others; terms of an owner are replaced: in one version."""
-    store = _module_store(spark, d)[0]
+    store = module_store(spark, d)[0]
     before = store.read().version
     with store.transaction() as t:
         t.delete_entities(spark.createDataFrame([(HUB,)], "id string"))
@@ -381,7 +382,7 @@ def _(spark, d):
 @_query("store_index_sync", f"SELECT 'deleted' AS name, 0 AS n UNION ALL SELECT 'old', 0 UNION ALL SELECT 'new', count(*) FROM modules WHERE id <> '{HUB}' UNION ALL SELECT 'size', count(*) FROM modules WHERE id <> '{HUB}'")
 def _(spark, d):
     """The index follows updates and deletes."""
-    store = _module_store(spark, d)[0]
+    store = module_store(spark, d)[0]
     changed = store.read().entities.withColumn("body", F.lit("palabra estrenada"))
     store.upsert_entities(changed)
     store.delete_entities(spark.createDataFrame([(HUB,)], "id string"))
@@ -392,7 +393,7 @@ def _(spark, d):
 
 @_query("store_history", _values((1, "migration 0001_init.sql"), (2, "ingest pages"), (3, "add terms"), (4, "clear terms"), columns="version, note"))
 def _(spark, d):
-    store = _module_store(spark, d)[0]
+    store = module_store(spark, d)[0]
     store.add_terms(spark.createDataFrame([(HUB, ["Uno"])], "entity_id string, terms array<string>"))
     store.clear_terms(spark.createDataFrame([(HUB,)], "id string"))
     return _rows(spark, [(h["version"], h["note"]) for h in store.history()], "version int, note string")
@@ -400,7 +401,7 @@ def _(spark, d):
 
 @_query("migrations", _values((1, "0001 0001_init.sql"), (2, "0002 0002_kind.sql"), (3, "0010 0010_terms.sql"), (4, "type unit"), (5, "terms 60"), (6, "again 3"), columns="n, value"))
 def _(spark, d):
-    store = _module_store(spark, d)[0]
+    store = module_store(spark, d)[0]
     folder = _write(spark, work_path(spark, "migrations"), {
         "0010_terms.sql": "REPLACE terms AS SELECT DISTINCT 'k' AS term, id AS entity_id FROM {entities};\n", "notes.md": "x", "10_x.sql": "x", "0003.sql": "x",
         "0002_kind.sql": "REPLACE entities AS SELECT id, 'unit' AS type, name, body, metadata, source_path, updated_at FROM {entities};\n",
@@ -422,7 +423,7 @@ def _(spark, d):
 )
 def _(spark, d):
     log: list[str] = []
-    _, result, delta = _module_store(spark, d, log.append)
+    _, result, delta = module_store(spark, d, log.append)
     numbers = {k: v for k, v in result.items() if isinstance(v, int) and k != "durationMs"} | delta.counters | {"logged": len(log)}
     return _rows(spark, list(numbers.items()), "name string, n bigint")
 
@@ -430,7 +431,7 @@ def _(spark, d):
 @_query("ingest_context", "SELECT owner, count(*) AS n, min('o=' || owner || ' 7') AS options FROM modules GROUP BY owner")
 def _(spark, d):
     """A plugin reads the graph by SQL and takes its options."""
-    store, seen = _module_store(spark, d)[0], {}
+    store, seen = module_store(spark, d)[0], {}
 
     def run(ctx):
         seen["df"] = ctx.sql("SELECT get_json_object(metadata, '$.owner') AS owner, count(*) AS n FROM entities GROUP BY 1")
@@ -736,7 +737,7 @@ def _(spark, d):
     with tempfile.TemporaryDirectory() as folder:
         with open(os.path.join(folder, "p.py"), "w") as f:
             f.write(text)
-        said = _cli(spark, db, "ingest", "--plugin", f.name, "--opt", f"root={_pages(spark, d)}")
+        said = _cli(spark, db, "ingest", "--plugin", f.name, "--opt", f"root={module_pages(spark, d)}")
     out.append(("ingest", said[0], f"entitiesAfter: {json.loads(said[1])['entitiesAfter']}"))
     said = _cli(spark, db, "query", "get", HUB)
     out.append(("get", said[0], "found" if json.loads(said[1])["found"] else said[1]))
@@ -789,6 +790,33 @@ def _(spark, d):
     return _rows(spark, out)
 
 
+_LETTER = "la carga lenta pasa por el muelle norte cuando un palé frágil espera en la cámara fría y nadie firma el remito".split()
+# Query, record and snippet as SQLite's FTS5 gives it for these texts (16 tokens, << and >>, …).
+_SNIPPETS = [
+    ('remito', '2', 'el norte un frágil en cámara y firma <<remito>>. carga pasa el norte un frágil'),
+    ('remito', '3', '…cámara nadie <<remito>> lenta el cuando frágil la y. el carga por norte palé en'),
+    ('remito', '4', 'cámara firma carga el un en y <<remito>> pasa. norte frágil cámara firma carga el un…'),
+    ('remito', '5', '…carga muelle frágil fría <<remito>> por un la firma. lenta norte espera y la el'),
+    ('remito', '6', 'pasa un cámara <<remito>> el frágil y carga norte. en firma pasa un cámara <<remito>> el…'),
+    ('remito', '7', 'cuando cámara la norte la <<remito>> muelle en el. el espera firma por frágil nadie pasa…'),
+    ('remito', '8', 'en <<remito>> norte cámara carga un y pasa frágil. firma el en <<remito>> norte cámara carga…'),
+    ('palé OR muelle', '3', '<<palé>> en fría firma la pasa <<muelle>> un espera. cámara nadie remito lenta el cuando frágil…'),
+    ('palé OR muelle', '5', '…la el <<palé>> cámara el pasa cuando en nadie. carga <<muelle>> frágil fría remito por un…'),
+    ('palé OR muelle', '7', '…remito <<muelle>> en el el espera firma por frágil. nadie pasa <<palé>> y lenta un fría…'),
+    ('NEAR(carga lenta, 2)', '1', 'la <<carga>> <<lenta>> pasa por el'),
+    ('NEAR(carga lenta, 2)', '7', '…<<lenta>> un fría <<carga>> cuando cámara la norte la. remito muelle en el el espera firma…'),
+    ('name : n5', '6', 'pasa un cámara remito el frágil y carga norte. en firma pasa un cámara remito el…'),
+]
+
+
+@_query("snippet_cases", _values(*_SNIPPETS, columns="query, id, snippet"))
+def _(spark, d):
+    bodies = [" ".join(_LETTER[(i * 5 + k * (i + 1)) % len(_LETTER)] + ("." if k % 9 == 8 else "") for k in range(6 + 9 * i)) for i in range(8)]
+    entities = D.inline(spark, "entities", [{"id": str(i + 1), "type": "t", "name": f"n{i}", "body": b} for i, b in enumerate(bodies)])
+    found = [search(entities, q, limit=-1).select(F.lit(q).alias("query"), "id", "snippet") for q in ("remito", "palé OR muelle", "NEAR(carga lenta, 2)", "name : n5")]
+    return reduce(DataFrame.unionAll, found)
+
+
 @_query("traverse_cycle", _values(("a", 0, None), ("b", 1, "r"), ("c", 2, "r"), columns="id, depth, relation"))
 def _(spark, d):
     """A walk ends where it has been: a cycle of three with a loop, and a target that is no entity."""

@@ -236,7 +236,7 @@ class Transaction:
     def _check(self, staged: Snapshot) -> None:
         if not self.required:
             return
-        needed = reduce(DataFrame.unionByName, self.required).filter(F.col("target_id").isNotNull()).distinct()
+        needed = reduce(DataFrame.unionByName, self.required).distinct()
         parts = self._parts("entities", needed, ["target_id"])
         known = staged.table("entities", parts).select(F.col("id").alias("target_id"))
         broken = needed.join(known, "target_id", "left_anti").limit(3).collect()

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.current import current_rows
@@ -10,6 +11,39 @@ from ..session import materialize, read_table
 from . import distinctive, encode, frequency, leakage, markup, spans, split
 
 
+# Bodies, their clean text, and whether there was markup.
+_MARKED = [
+    ("Una <b>zona</b> lenta", "Una zona lenta", True),
+    ("a &amp;nbsp; b &lt; c", "a b < c", True),
+    ("## **Cada** _zona_", "Cada zona", True),
+    ("1. uno\n2. *dos*\n- tres", "1. uno\n2. dos\n• tres", True),
+    ("el [pero](../rule/x-4.md) no", "el pero no", True),
+    ("la [[sla/route-603|La]] no {{nota|{{aviso|estante}}|pie=x}}", "la La no estante", True),
+    ("== Uno ==\ntexto\n{|\n|-\n| a || 1\n|}", "Uno\n\ntexto\n\na\t1", True),
+    ("\\section{Uno} caf\\'{e} \\textbf{\\emph{ruta}} $d_0$", "Uno\n\ncafé ruta d_0", True),
+    ("```py\nx = 1  # **no**\n```", "x = 1  # **no**", True),
+    ("uno<ref>a</ref> dos\\footnote{b}", "uno dos", True),
+    ("[Inicio](/) | [Guía](/g)\n[[Portada]]\n\nEl palé cabe.\n", "El palé cabe.", True),
+    ("2*3*4 y 5 * 6, x == 6 | y == 5", "2*3*4 y 5 * 6, x == 6 | y == 5", False),
+    ("D:\\bultos\\77, peso_neto_kg, US$ 17, ~26 kg", "D:\\bultos\\77, peso_neto_kg, US$ 17, ~26 kg", False),
+    ("", "", False),
+    (None, None, False),
+]
+# Texts and their ids by the public tokenizer (as its other library gives them).
+_ENCODED = [
+    ("el palé número 21 no cabe", "417 6340 2634 299 21356 647 78 2310 645 269 11231"),
+    ("it's we'll they've", "270 338 356 1183 484 1053"),
+    ("  two  spaces\n\n\nand lines ", "220 734 220 9029 628 198 392 3951 220"),
+    ("aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "24794 24794 24794 24794 24794 24794 24794"),
+    ("漢字 y 🚚🏽 é", "162 120 95 27764 245 331 12520 248 248 8582 237 121 304 136 223"),
+    ("<|endoftext|>", "27 91 437 1659 5239 91 29"),
+    ("!!!!????....", "13896 9805 1106"),
+    ("12345678901234567890", "10163 2231 3134 4531 486 1954 2231 30924 3829"),
+    ("", ""),
+    (None, ""),
+]
+
+
 def _clean(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return markup.clean_bodies(read_table(spark, d, "entities"), read_table(spark, d, "components"), current_rows, columns)
 
@@ -35,6 +69,19 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return one.select("id", "p.piece_no", "p.start", "p.end", "p.piece")
 
 
+def p3_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces put together again: the body, whether all are within the limit, and whether each repeats what it should."""
+    whole = _pieces(spark, d).select("id", "max_chars", "overlap_chars", F.explode("pieces").alias("p")).select("id", "max_chars", "overlap_chars", "p.*")
+    order = Window.partitionBy("id").orderBy("piece_no")
+    end = F.coalesce(F.lag("end").over(order), F.lit(0))
+    fresh = F.substring("piece", (end - F.col("start") + 1).cast("int"), F.length("piece"))
+    shared = F.coalesce(F.lag("piece").over(order), F.lit(""))
+    repeats = (F.col("piece_no") == 0) | ((end - F.col("start") == F.col("overlap_chars")) & F.endswith(shared, F.left("piece", end - F.col("start"))))
+    parts = whole.select("id", "piece_no", fresh.alias("fresh"), (F.length("piece") <= F.col("max_chars")).alias("within"), repeats.alias("repeats"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_no", "fresh"))), lambda x: x["fresh"]), "")
+    return parts.groupBy("id").agg(F.md5(text).alias("body"), F.every("within").alias("within"), F.every("repeats").alias("repeats"))
+
+
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     tables = read_table(spark, d, "entities"), read_table(spark, d, "terms")
     return distinctive.distinctive_terms(*tables, current_rows, materialize)
@@ -62,6 +109,30 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(read_table(spark, d, "documents"), materialize)
 
 
+def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of each document as text again."""
+
+    @F.pandas_udf("string")
+    def text(ids: pd.Series) -> pd.Series:
+        enc = encode.encoder(encode.TOKENIZER, encode.LEAF_CHARS)
+        return pd.Series([b"".join(enc.bytes[i] for i in x).decode() for x in ids], dtype=object)
+
+    return p8_ids(spark, d).select("doc_id", F.md5(text("ids")).alias("text"))
+
+
+def encode_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Fixed texts, cut into leaves of three characters."""
+    docs = spark.createDataFrame([(i, x[0]) for i, x in enumerate(_ENCODED)], "doc_id bigint, text string")
+    return encode.encode_corpus(docs, materialize, leaf_chars=3).select("doc_id", F.array_join("ids", " ").alias("ids"))
+
+
+def markup_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Fixed bodies of each kind of markup."""
+    bodies = spark.createDataFrame([(f"{i:02d}", x[0]) for i, x in enumerate(_MARKED)], "id string, body string")
+    none = bodies.limit(0)
+    return markup.clean_bodies(none.withColumn("updated_at", F.lit("x")), bodies, current_rows, ("text", "residue")).select("id", "text", "residue")
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"), materialize)
 
@@ -85,9 +156,16 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_clean, p3_found, p3_pieces, p4_found, p4_scores, p5_found, p5_frequency, p8_ids, p9_found, p9_items, p10_found, p10_share)
+    for f in (p1_found, p1_clean, p3_found, p3_pieces, p4_found, p4_scores, p5_found, p5_frequency, p8_ids, p9_found, p9_items, p10_found, p10_share, p3_roundtrip, p8_roundtrip, markup_cases, encode_cases)
 }
 
+def _values(rows: list[tuple], columns: str) -> str:
+    def cell(x) -> str:
+        return "NULL" if x is None else str(x).upper() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS t({columns})"
+
+
 _SPACES = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _TERMS = rf"""
 pairs AS (
@@ -130,6 +208,11 @@ _COUNTS = rf"""{_TERMS},
           FROM listed GROUP BY term)"""
 
 ORACLE_SQL = {
+    "markup_cases": _values([(f"{i:02d}", *x[1:]) for i, x in enumerate(_MARKED)], "id, text, residue"),
+    "encode_cases": _values([(i, x[1]) for i, x in enumerate(_ENCODED)], "doc_id, ids"),
+    "p3_roundtrip": """WITH cur AS (SELECT id, type, body FROM entities QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1)
+        SELECT id, md5(body) AS body, true AS within, true AS repeats FROM cur WHERE id IS NOT NULL AND body IS NOT NULL""",
+    "p8_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS text FROM documents",
     "p3_found": """WITH cur AS (
           SELECT id, type, body FROM entities QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1)
         SELECT id FROM cur LEFT JOIN (SELECT * FROM size_limits WHERE type <> '*') s ON s.type = cur.type

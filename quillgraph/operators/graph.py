@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..session import materialize, materialize_counted
 
 MAX_DEPTH = 10
-#: Nodes of a level whose edges are read by their keys; the edges of more are found by a join.
-LOOKUP = 1000
+#: Nodes of a level whose edges are read by their keys; the edges of more are found by a join. So many keys prune row
+#: groups one by one (spark.sql.parquet.pushdown.inFilterThreshold).
+LOOKUP = 10
 
 
 def outgoing(edges: DataFrame, src: str, relation: str | None = None) -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 import contextlib
 import io
 import json
-import os
 import types
 import zlib
 from functools import reduce
@@ -30,6 +29,7 @@ from ..operators.integrity import IntegrityError
 from ..schema import empty
 from ..session import read_table, shared_dir, work_path
 from ..sources import documents as D
+from ..sources import pages
 from ..sources import plugins as P
 from ..store import GraphStore
 from ..validate import RuleSpec, schema_issues, validate_rules_file
@@ -728,16 +728,10 @@ def _(spark, d):
 
 @_query("cli_init_and_validate", _values(("init", 0, "migrations: 1"), ("ingest", 0, "entitiesAfter: 60"), ("get", 0, "found"), ("validate", 1, "errors and stats")).replace("AS t(name, value)", "AS t(name, code, said)"))
 def _(spark, d):
-    db, plugin = work_path(spark, "db"), work_path(spark, "plugin")
+    db = work_path(spark, "db")
     said = _cli(spark, db, "init")
     out = [("init", said[0], "migrations: 1" if "1 migration" in said[1] else said[1])]
-    text = "from quillgraph.sources.plugins import markdown_plugin\n\n\nclass P:\n    name = 'pages'\n\n    def run(self, ctx):\n        return markdown_plugin(ctx.spark, ctx.options['root'])\n\n\nmake_plugin = P\n"
-    import tempfile  # a plugin is a module of the driver
-
-    with tempfile.TemporaryDirectory() as folder:
-        with open(os.path.join(folder, "p.py"), "w") as f:
-            f.write(text)
-        said = _cli(spark, db, "ingest", "--plugin", f.name, "--opt", f"root={module_pages(spark, d)}")
+    said = _cli(spark, db, "ingest", "--plugin", pages.__file__, "--opt", f"root={module_pages(spark, d)}")
     out.append(("ingest", said[0], f"entitiesAfter: {json.loads(said[1])['entitiesAfter']}"))
     said = _cli(spark, db, "query", "get", HUB)
     out.append(("get", said[0], "found" if json.loads(said[1])["found"] else said[1]))

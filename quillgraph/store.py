@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from datetime import datetime, timezone
 from functools import reduce
@@ -115,6 +116,12 @@ class Transaction:
         """Parts that hold these keys: at most as many numbers as there are parts."""
         return set(rows.agg(F.collect_set(part_of(name, self.store.parts, columns))).first()[0])
 
+    def _parts_of_each(self, **rows: DataFrame) -> dict[str, set[int]]:
+        """As :meth:`_parts` for several tables, in one job."""
+        each = [df.select(F.lit(name).alias("name"), part_of(name, self.store.parts).alias("part")) for name, df in rows.items()]
+        found = reduce(DataFrame.unionAll, each).groupBy("name").agg(F.collect_set("part").alias("parts")).collect()
+        return {name: set() for name in rows} | {r["name"]: set(r["parts"]) for r in found}
+
     def table(self, name: str, parts: set[int] | None = None) -> DataFrame:
         """A table with what is staged, or these parts of it."""
         touched, rows = self.staged.get(name, (set(), None))
@@ -142,14 +149,14 @@ class Transaction:
 
     # mutations
 
-    def upsert_entities(self, rows: DataFrame, order: str | None = None) -> None:
+    def upsert_entities(self, rows: DataFrame, order: str | None = None, parts: set[int] | None = None) -> None:
         rows = M.entity_rows(rows, self.store._now(), order)
-        self._change("entities", self._parts("entities", rows), lambda old: M.upsert(old, rows, KEYS["entities"]))
+        self._change("entities", self._parts("entities", rows) if parts is None else parts, lambda old: M.upsert(old, rows, KEYS["entities"]))
 
-    def upsert_edges(self, rows: DataFrame, order: str | None = None) -> None:
+    def upsert_edges(self, rows: DataFrame, order: str | None = None, parts: set[int] | None = None) -> None:
         rows = M.edge_rows(rows, order)
         self._need("edges", rows, "src", "dst")
-        self._change("edges", self._parts("edges", rows), lambda old: M.upsert(old, rows, KEYS["edges"]))
+        self._change("edges", self._parts("edges", rows) if parts is None else parts, lambda old: M.upsert(old, rows, KEYS["edges"]))
 
     def delete_edges(self, keys: DataFrame) -> int:
         """Number of edges that were there."""
@@ -180,15 +187,16 @@ class Transaction:
     def clear_terms(self, ids: DataFrame) -> None:
         self._change("terms", self._parts("terms", ids, ["id"]), lambda old: M.clear_terms(old, ids))
 
-    def replace_terms(self, words: DataFrame, clear_empty: bool = False) -> None:
+    def replace_terms(self, words: DataFrame, clear_empty: bool = False, parts: set[int] | None = None) -> None:
         self._need("terms", words.filter(F.size("terms") > 0), "entity_id")
-        self._change("terms", self._parts("terms", words), lambda old: M.replace_terms(old, words, clear_empty))
+        self._change("terms", self._parts("terms", words) if parts is None else parts, lambda old: M.replace_terms(old, words, clear_empty))
 
     def apply(self, delta: GraphDelta) -> None:
         """Entities, edges and terms of an ingest. Of records with one key the last in the order of their sources holds."""
-        self.upsert_entities(delta.entities)
-        self.upsert_edges(delta.edges)
-        self.replace_terms(delta.terms, delta.clear_empty)
+        parts = self._parts_of_each(entities=delta.entities, edges=delta.edges, terms=delta.terms)
+        self.upsert_entities(delta.entities, parts=parts["entities"])
+        self.upsert_edges(delta.edges, parts=parts["edges"])
+        self.replace_terms(delta.terms, delta.clear_empty, parts["terms"])
 
     # the end
 
@@ -196,14 +204,19 @@ class Transaction:
         """Write the touched parts, check the staged version, publish it."""
         tables = {n: dict(t) for n, t in self.base.manifest["tables"].items()}
         staged = Snapshot(self.base.spark, self.base.manifest | {"version": self.base.version + 1, "tables": tables})
-        for name, (parts, rows) in list(self.staged.items()):
-            tables[name] = self._written(name, parts, rows)
-        self._check(staged)
-        if "edges" in self.staged:
-            parts = self.staged["edges"][0]
-            tables["edges_by_dst"] = self._written("edges_by_dst", parts, staged.table("edges", parts))
-        if "entities" in self.staged and self.store.index:
-            self._reindex(staged, self.staged["entities"][0])
+        with ThreadPoolExecutor(4) as pool:  # the jobs of a small commit are short, so they run beside each other
+            tables |= dict(zip(self.staged, pool.map(lambda name: self._written(name, *self.staged[name]), self.staged)))
+            later = [pool.submit(self._check, staged)]
+            if "edges" in self.staged:
+                parts = self.staged["edges"][0]
+                later.append(pool.submit(self._derive, tables, "edges_by_dst", parts, staged.table("edges", parts)))
+            if "entities" in self.staged and self.store.index:
+                parts = self.staged["entities"][0]
+                sizes = corpus_size(staged.table("entities", parts).withColumn("part", part_of("entities", self.store.parts)), "part")
+                later.append(pool.submit(self._derive, tables, "size", parts, sizes))
+                later.append(pool.submit(self._derive, tables, "postings", parts, self._postings(staged, parts)))
+            for job in later:
+                job.result()
         staged.manifest |= {"at": self.store.clock(), "note": self.note, "migrations": self.migrations, "parts": self.store.parts}
         self.store._publish(staged.manifest)
         self.done = staged
@@ -218,20 +231,19 @@ class Transaction:
         rows.repartition("part").sortWithinPartitions("part", *order).write.partitionBy("part").parquet(folder)
         return kept | {str(p): f"{folder}/part={p}" for p in self.store._written_parts(folder)}
 
-    def _reindex(self, staged: Snapshot, parts: set[int]) -> None:
-        """The full-text index: in the touched parts the postings of changed records are made again, others kept."""
+    def _derive(self, tables: dict, name: str, parts: set[int], rows: DataFrame) -> None:
+        tables[name] = self._written(name, parts, rows)
+
+    def _postings(self, staged: Snapshot, parts: set[int]) -> DataFrame:
+        """The full-text index of these parts: the postings of changed records are made again, others kept."""
         now, was = staged.table("entities", parts), self.base.table("entities", parts)
         if self.base.postings is None:
-            fresh = build_postings(now)
-        else:
-            text = F.struct("name", "body")
-            both = now.select("id", text.alias("now")).join(was.select("id", text.alias("was")), "id", "full_outer")
-            changed = both.filter(~F.col("now").eqNullSafe(F.col("was"))).select("id")
-            kept = self.base.table("postings", parts).join(changed, "id", "left_anti").select(*POSTINGS.names)
-            fresh = kept.unionByName(build_postings(now.join(changed, "id", "left_semi")))
-        staged.manifest["tables"]["postings"] = self._written("postings", parts, fresh)
-        sizes = corpus_size(now.withColumn("part", part_of("entities", self.store.parts)), "part")
-        staged.manifest["tables"]["size"] = self._written("size", parts, sizes)
+            return build_postings(now)
+        text = F.struct("name", "body")
+        both = now.select("id", text.alias("now")).join(was.select("id", text.alias("was")), "id", "full_outer")
+        changed = both.filter(~F.col("now").eqNullSafe(F.col("was"))).select("id")
+        kept = self.base.table("postings", parts).join(changed, "id", "left_anti").select(*POSTINGS.names)
+        return kept.unionByName(build_postings(now.join(changed, "id", "left_semi")))
 
     def _check(self, staged: Snapshot) -> None:
         if not self.required:

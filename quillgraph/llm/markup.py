@@ -141,6 +141,35 @@ _EMPHASIS = [
     _rx(r"()==(?=[^\s=])([^=\n]*[^\s=])==(?!=)"),
 ]
 _PLAIN = _rx(r"[<&*_`~=\[\]#>|'$\\{}+]|^[ \t]*(?:-|\d{1,9}[.)])|^ {0,3}-{2}", re.M)
+# What a text must have for a rule to match: looked for first, as that is quick.
+_NEEDS = {
+    rule: marks
+    for marks, rules in {
+        ("---",): [_FRONT],
+        ("```", "~~~"): [_FENCE, _FENCE_LINE],
+        ("<",): [_PRE, _NOWIKI, _MATHS[0], _COMMENT, _COMMENT_OPEN, _GONE[0], _REF, _AUTOLINK, _HTML_LINK, _HTML_HEAD, _HTML_ROW, _HTML_ITEM, _HTML_IMG, _HTML_BLOCK, _HTML_TAG],
+        ("&",): [_ENTITY],
+        ("$",): [_MATHS[2], _MATHS[4], _INLINE_MATH[0]],
+        ("\\",): [_VERB, _MATHS[1], _MATHS[3], _INLINE_MATH[1], _TEX_TABULAR, _TEX_ACCENT, _TEX_SILENT, _TEX_HREF, _TEX_HEAD, _TEX_ITEM, _TEX_ENV, _TEX_NOTE, _TEX_WRAP, _TEX_GROUP, _TEX_BARE, _TEX_ESC, _MD_ESC],
+        ("`",): [_TEX_QUOTE, _MD_CODE],
+        ("__",): [_GONE[1]],
+        ("{{", "}}"): [_TEMPLATE, _TEMPLATE_OPEN],
+        ("[[", "]]"): [_WIKI_LINK, _WIKI_OPEN],
+        ("[",): [_WIKI_URL, _MD_DEF, _MD_NOTE, _MD_IMAGE, _MD_LINK, _MD_REF],
+        ("|",): [_WIKI_TABLE, _MD_TABLE_RULE],
+        ("=",): [_WIKI_HEAD],
+        ("#",): [_MD_ATX],
+        ("==", "--"): [_MD_SETEXT],
+        ("---", "***", "___", "===="): [_MD_RULE],
+        (">",): [_MD_QUOTE],
+        ("''",): [_WIKI_QUOTE],
+        ("*",): [_EMPHASIS[0]],
+        ("_",): [_EMPHASIS[1]],
+        ("~~",): [_EMPHASIS[2]],
+        ("==",): [_EMPHASIS[3]],
+    }.items()
+    for rule in rules
+}
 _SPACES = _rx(r"[ \t]{2,}")
 _SIGN = _rx(r"\x02[\x11-\x1a]|[\x04\x05]")
 _LINKED = _rx(r"\x04[^\x05]*\x05")
@@ -180,6 +209,9 @@ class _Page:
         self.marks, self.kept, self.notes = 0, [], []
 
     def sub(self, pattern: re.Pattern, to) -> int:
+        needs = _NEEDS.get(pattern)
+        if needs and not any(x in self.text for x in needs):
+            return 0
         self.text, n = pattern.subn(to, self.text)
         self.marks += n
         return n

@@ -3,7 +3,8 @@
 A text longer than a leaf is halved, wherever the cut falls, and the ids of two halves are joined by encoding a
 window around the cut again. The window grows to twice as many ids each time until both sides agree with it:
 
-* at an edge where the pattern always splits (white space after anything else), for there every encoding splits;
+* at an edge where the pattern always splits (between characters of two kinds, but for a space before a word and an
+  apostrophe before a letter), for there every encoding splits;
 * or, inside a run that the pattern does not split, at an edge where the two ids beside it, encoded together, come out
   as the same two ids: a sequence of ids in which all neighbours do so is the encoding of the run.
 
@@ -36,9 +37,14 @@ PART_CHARS = 1 << 18
 FIRST_WINDOW = 8
 
 _SPLIT = regex.compile(PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-#: Places that no piece of the pattern spans: white space after anything else.
-_SAFE = regex.compile(r"(?<=\P{White_Space})(?=\p{White_Space})")
-_LAST_SAFE = regex.compile(r"(?r)(?<=\P{White_Space})(?=\p{White_Space})")
+#: Between which characters no piece of the pattern reaches: letters, numbers, white space and signs end at another kind,
+#: but a space goes with what follows, and an apostrophe may begin a contraction.
+_ALWAYS = (
+    r"(?<=\P{White_Space})(?=\p{White_Space})|(?<=\p{L})(?=[^\p{L}\p{White_Space}])|(?<=\p{N})(?=[^\p{N}\p{White_Space}])"
+    r"|(?<=[^\p{L}\p{N}\p{White_Space}])(?=\p{N})|(?<=[^\p{L}\p{N}\p{White_Space}'])(?=\p{L})"
+)
+_SAFE = regex.compile(_ALWAYS)
+_LAST_SAFE = regex.compile("(?r)" + _ALWAYS)
 _SPACE = regex.compile(r"\p{White_Space}")
 #: A stretch of one kind of characters, which the pattern never splits in its middle.
 _ONE_KIND = regex.compile(r"\p{L}{2,}|\p{N}{2,}|[^\p{White_Space}\p{L}\p{N}]{2,}|\p{White_Space}{2,}")

@@ -47,10 +47,11 @@ def test_long_runs_are_joined_exactly(plain, letters):
         assert enc.encode(whole) == plain(whole)
 
 
-def test_a_run_of_a_million_characters_is_joined_in_little_time(plain):
-    """The parts of a run are encoded apart and joined by windows, not encoded again as a whole."""
+@pytest.mark.parametrize("letters", [string.ascii_lowercase, "漢字。、", string.ascii_letters + string.digits + "+/", "it's'll", "\n \t"])
+def test_a_run_of_a_million_characters_is_joined_in_little_time(plain, letters):
+    """The parts of a text without breaks are encoded apart and joined by windows, not encoded again as a whole."""
     enc, rng = E.Encoder(), random.Random(5)
-    text = "x " + "".join(rng.choices(string.ascii_lowercase, k=1_000_000)) + " y"
+    text = "x " + "".join(rng.choices(letters, k=1_000_000)) + " y"
     parts = [enc.encode(p) for p in E.halves(text, E.PART_CHARS)]
     seen = []
     single = enc.bpe._encode_single_piece

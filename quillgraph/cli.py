@@ -1,4 +1,4 @@
-"""Command line: init, ingest, status, query find|term|get|related, validate."""
+"""Command line: init, ingest, status, query find|term|get|related, validate, serve."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import sys
 
 from .facade import KnowledgeGraph, edge_object
 from .ingest import coerce_options, run_ingest
+from .serve import http_server, serve_lines
 from .session import build_session
 from .store import GraphStore
 from .validate import validate_rules_file
@@ -27,6 +28,9 @@ def _parser() -> argparse.ArgumentParser:
     p = command("ingest")
     p.add_argument("--plugin", required=True)
     p.add_argument("--opt", nargs="*", action="extend", default=[], metavar="key=value")
+    p = command("serve")
+    p.add_argument("--http", type=int, metavar="PORT", help="over HTTP; else over standard streams")
+    p.add_argument("--allow-writes", action="store_true")
     p = command("validate")
     p.add_argument("--file", required=True)
     p.add_argument("--auto-register", action="store_true")
@@ -67,6 +71,15 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         show(run_ingest(store, args.plugin, coerce_options(args.opt), log=lambda x: print(x, file=sys.stderr)).as_dict())
     elif args.command == "status":
         show(kg.status())
+    elif args.command == "serve":
+        store.migrate()
+        kg = KnowledgeGraph(store, args.allow_writes)
+        if args.http is None:
+            serve_lines(kg, sys.stdin, sys.stdout)
+        else:
+            with http_server(kg, args.http) as server:
+                print(f"[quillgraph] http://127.0.0.1:{server.server_port}/mcp", file=sys.stderr, flush=True)
+                server.serve_forever()
     elif args.command == "validate":
         result = validate_rules_file(store, args.file, args.auto_register, decide=_ask)
         for label, lines in (("warning", result.warnings), ("error", result.errors)):

@@ -8,8 +8,10 @@ session; the searches read its index.
 from __future__ import annotations
 
 import contextlib
+import http.client
 import io
 import json
+import threading
 import types
 import zlib
 from functools import reduce
@@ -27,6 +29,7 @@ from ..operators import lookup as L
 from ..operators import mutations as M
 from ..operators.integrity import IntegrityError
 from ..schema import empty
+from ..serve import http_server, serve_lines
 from ..session import read_table, shared_dir, work_path
 from ..sources import documents as D
 from ..sources import pages
@@ -740,6 +743,62 @@ def _(spark, d):
     return _rows(spark, out, "name string, code int, said string")
 
 
+# serving
+
+
+_MESSAGES = [
+    {"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {"protocolVersion": "2025-03-26"}},
+    {"jsonrpc": "2.0", "method": "notifications/initialized"},
+    {"jsonrpc": "2.0", "id": 2, "method": "tools/call", "params": {"name": "kb_get", "arguments": {"id": HUB}}},
+    {"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "kb_find", "arguments": {"query": "(a"}}},
+    {"jsonrpc": "2.0", "id": 4, "method": "nope"},
+    {"jsonrpc": "2.0", "id": 5, "method": "ping"},
+]
+_ANSWERS = (("1", "2025-03-26"), ("2", HUB), ("3", "isError"), ("4", "-32601"), ("5", "{}"))
+
+
+def _said(answer: dict) -> tuple[str, str]:
+    """What an answer is about, in short."""
+    result = answer.get("result", {})
+    if "content" in result:
+        text = "isError" if result["isError"] else json.loads(result["content"][0]["text"])["entity"]["id"]
+    else:
+        text = str(answer["error"]["code"]) if "error" in answer else result.get("protocolVersion") or json.dumps(result)
+    return str(answer["id"]), text
+
+
+@_query("serve_lines", _values(*_ANSWERS, ("None", "-32700"), ("6", "7")))
+def _(spark, d):
+    lines = [json.dumps(m) for m in _MESSAGES] + ["", "{broken", json.dumps({"jsonrpc": "2.0", "id": 6, "method": "tools/list"})]
+    out = io.StringIO()
+    serve_lines(KnowledgeGraph(module_store(spark, d)[0], allow_writes=True), io.StringIO("\n".join(lines)), out)
+    answers = [json.loads(x) for x in out.getvalue().splitlines()]
+    return _rows(spark, [_said(a) if "tools" not in a.get("result", {}) else (str(a["id"]), str(len(a["result"]["tools"]))) for a in answers])
+
+
+@_query("serve_http", _values(*_ANSWERS, ("health", "200"), ("no session", "400"), ("notification", "202"), ("stream", "405"), ("end", "200"), ("ended", "400")))
+def _(spark, d):
+    server = http_server(KnowledgeGraph(module_store(spark, d)[0]), port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def ask(method: str, path: str, message=None, session: str | None = None):
+        link = http.client.HTTPConnection("127.0.0.1", server.server_port, timeout=60)
+        link.request(method, path, json.dumps(message) if message else None, {"Mcp-Session-Id": session} if session else {})
+        answer = link.getresponse()
+        return answer.status, answer.headers.get("Mcp-Session-Id"), answer.read()
+
+    try:
+        out = [("health", str(ask("GET", "/health")[0])), ("no session", str(ask("POST", "/mcp", _MESSAGES[2])[0]))]
+        _, session, first = ask("POST", "/mcp", _MESSAGES[0])
+        out += [_said(json.loads(first)), ("notification", str(ask("POST", "/mcp", _MESSAGES[1], session)[0]))]
+        out += [_said(json.loads(ask("POST", "/mcp", m, session)[2])) for m in _MESSAGES[2:]]
+        out += [("stream", str(ask("GET", "/mcp", session=session)[0])), ("end", str(ask("DELETE", "/mcp", session=session)[0])), ("ended", str(ask("POST", "/mcp", _MESSAGES[5], session)[0]))]
+    finally:
+        server.shutdown()
+        server.server_close()
+    return _rows(spark, out)
+
+
 # full text over the index of the store
 
 

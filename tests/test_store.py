@@ -13,6 +13,7 @@ from quillgraph.facade import KnowledgeGraph
 from quillgraph.ingest import PluginError, coerce_options, load_plugin, resolve_plugin, run_ingest
 from quillgraph.operators.integrity import IntegrityError
 from quillgraph.schema import conform, empty
+from quillgraph.serve import VERSIONS, Session
 from quillgraph.sources import documents as D
 from quillgraph.sources import plugins as P
 from quillgraph.store import GraphStore, migration_files
@@ -379,6 +380,28 @@ def test_command_line(spark, tmp_path, capsys):
         run("query", "find", "x", "--limit", "x", "--db", db)
 
 
+def test_sessions_answer_by_the_protocol(spark, store):
+    store.migrate()
+    session = Session(KnowledgeGraph(store, allow_writes=True))
+    ask = lambda method, id=1, **params: session.answer({"jsonrpc": "2.0", "id": id, "method": method, "params": params})
+    assert ask("initialize", protocolVersion="1999-01-01")["result"]["protocolVersion"] == VERSIONS[0]
+    tools = {t["name"]: t["inputSchema"] for t in ask("tools/list")["result"]["tools"]}
+    assert list(tools) == session.kg.tools() and tools["kb_find"]["required"] == ["query"]
+    assert tools["kb_traverse"]["properties"]["maxDepth"] == {"type": "integer", "minimum": 0, "maximum": 10}
+    assert tools["kb_add_entity"]["properties"]["metadata"] == {"type": "object"} and "sourcePath" in tools["kb_add_entity"]["properties"]
+    added = ask("tools/call", name="kb_add_entity", arguments={"id": "a", "type": "t", "name": "n"})["result"]
+    assert json.loads(added["content"][0]["text"]) == {"upserted": True, "id": "a"} and not added["isError"]
+    missing = ask("tools/call", name="kb_add_edge", arguments={"src": "a", "dst": "b", "relation": "r"})["result"]
+    assert missing["isError"] and json.loads(missing["content"][0]["text"])["dstExists"] is False
+    for name, arguments in (("kb_drop", {}), ("kb_get", {}), ("kb_get", {"id": ""}), ("kb_find", {"query": "a", "limit": 0})):
+        assert ask("tools/call", name=name, arguments=arguments)["result"]["isError"]
+    for bad in (None, 5, {}, [], {"jsonrpc": "2.0"}, {"jsonrpc": "1.0", "method": "ping"}):
+        assert session.answer(bad)["error"]["code"] == -32600
+    assert session.answer({"jsonrpc": "2.0", "method": "ping"}) is None
+    both = session.answer([{"jsonrpc": "2.0", "id": 1, "method": "ping"}, {"jsonrpc": "2.0", "method": "x"}, {"jsonrpc": "2.0", "id": 2, "method": "tools/call", "params": []}])
+    assert [a["id"] for a in both] == [1, 2] and both[1]["error"]["code"] == -32602
+
+
 def test_front_matter(spark):
     texts = [None, "", "---\nid: a\r\nk: [x, , 'y']\nid: b\nbad line\nq: \"z\"\n---\n\n body \n", "---\nno end", "---\n\n---\nx"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
